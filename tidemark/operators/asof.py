@@ -40,7 +40,7 @@ def _links(known: np.ndarray, first: np.ndarray) -> np.ndarray:
     return link
 
 
-def _merge(t: pa.Table, group: list[str], out: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _merge(t: pa.Table, group: list[str]) -> Iterator[pa.RecordBatch]:
     n = t.num_rows
     change = np.zeros(n, bool)
     change[:1] = True
@@ -66,11 +66,11 @@ def _merge(t: pa.Table, group: list[str], out: pa.Schema) -> Iterator[pa.RecordB
                 hidden = hidden[known[v[at[hidden]]] > known[e[hidden]]]
     hit = at >= 0
     picked = t.column("_right").take(pa.array(np.where(hit, v[at] if len(v) else 0, 0), mask=~hit))
-    res = pa.table([t.column("_left").take(pa.array(e)), picked], schema=out)
+    res = pa.table({"_left": t.column("_left").take(pa.array(e)), "_right": picked})
     yield from res.to_batches(max_chunksize=20_000)
 
 
-def _merger(group: list[str], out: pa.Schema):
+def _merger(group: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for b in batches:
@@ -86,10 +86,10 @@ def _merger(group: list[str], out: pa.Schema):
                 same = eq if same is None else pc.and_(same, eq)
             cut = pc.index(same, pa.scalar(True)).as_py()
             if cut > 0:
-                yield from _merge(t.slice(0, cut), group, out)
+                yield from _merge(t.slice(0, cut), group)
                 held = t.slice(cut).to_batches()
         if held:
-            yield from _merge(pa.Table.from_batches(held), group, out)
+            yield from _merge(pa.Table.from_batches(held), group)
 
     return run
 
@@ -101,8 +101,6 @@ def asof_candidates(left: DataFrame, right: DataFrame, keys: Sequence[str], id_c
     at, order[0]: whole numbers. known, right_known: timestamps or whole numbers. Rows with a null key, position or
     time can match nothing; they are left out. Ties in (order, right_known) are the same version.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     lf = left.select(*keys, F.col(at).cast("long").alias("_pos"), F.col(known).alias("_known"), F.struct(*id_cols).alias("_left")).dropna(subset=[*keys, "_pos", "_known"])
     rt = right.select(*keys, F.col(order[0]).cast("long").alias("_pos"), F.col(right_known).alias("_known"), F.struct(*order, right_known, *[c for c in take if c not in order and c != right_known]).alias("_right")).dropna(subset=[*keys, "_pos", "_known"])
     bounds = shard_bounds(rt.select(*keys, "_pos").unionByName(lf.select(*keys, "_pos")), keys, "_pos", rows)
@@ -135,7 +133,7 @@ def asof_candidates(left: DataFrame, right: DataFrame, keys: Sequence[str], id_c
     group = [*keys, "_shard"]
     both = both.repartition(*group).sortWithinPartitions(*group, "_pos", "_event", *order2, "_known")
     schema = T.StructType([T.StructField("_left", lt), T.StructField("_right", rtt)])
-    got = both.mapInArrow(_merger(group, to_arrow_schema(schema, timezone="UTC")), schema)
+    got = both.mapInArrow(_merger(group), schema)
     return got.select("_left.*", F.col("_right").alias("match"))
 
 

@@ -54,13 +54,14 @@ def with_shard(df: DataFrame, keys: Sequence[str], at: str | Column, bounds: Dat
     )
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 16, rows: int = ROWS) -> DataFrame:
-    """Equi-join in which hot keys of `big` are spread over `salts` tasks; only their rows of `small` are repeated."""
+def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], salt_on: Sequence[str], how: str = "inner", salts: int = 16, rows: int = ROWS) -> DataFrame:
+    """Equi-join in which hot keys of `big` are spread over `salts` tasks; only their rows of `small` are repeated.
+    The salt is a hash of salt_on, so that a task that runs again deals its rows alike."""
     hot = hot_keys(big, on, rows)
     if hot is None:
         return big.join(small, list(on), how)
     marks = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
-    b = big.join(marks, list(on), "left").withColumn("_salt", F.when(F.col("_hot"), (F.rand(7) * salts).cast("int")).otherwise(0)).drop("_hot")
+    b = big.join(marks, list(on), "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
     s = small.join(marks, list(on), "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     return b.join(s, [*on, "_salt"], how).drop("_salt")
 
@@ -83,7 +84,6 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], lag: di
         *[F.last(c, True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias(f"_fill_{n}") for n, c in fill.items()],
     )
     if bounds is None:
-        edge = {f"_e_{k}_{n}": F.lit(None) for k, d in (("lag", lag), ("lead", lead), ("fill", fill)) for n in d}
         val = lambda k, n: F.col(f"_{k}_{n}.v") if k != "fill" else F.col(f"_fill_{n}")
     else:
         o = F.struct(*order)
@@ -105,7 +105,5 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], lag: di
             *[F.last(f"_e_fill_{n}", True).over(ws.rowsBetween(W.unboundedPreceding, -1)).alias(f"_e_fill_{n}") for n in fill],
         )
         out = out.join(F.broadcast(sums), [*keys, "_shard"], "left")
-        edge = {}
         val = lambda k, n: F.coalesce(F.col(f"_{k}_{n}"), F.col(f"_e_{k}_{n}"))["v"] if k != "fill" else F.coalesce(F.col(f"_fill_{n}"), F.col(f"_e_fill_{n}"))
-    del edge
     return out.select(*[F.col(c) for c in df.columns], *[val(k, n).alias(n) for k, d in (("lag", lag), ("lead", lead), ("fill", fill)) for n in d])

@@ -35,7 +35,7 @@ def intervals(df: DataFrame, scope: str, key: str, time: str, ingested: str, sta
         df.select(F.col(scope).alias("_s"), F.col(time).alias("_t"), F.col(key).alias("_k"), F.struct(F.col(ingested).alias("at"), F.md5(doc).alias("h")).alias("_d"))
         .dropna(subset=["_s", "_t", "_k"])
         .groupBy("_s", "_t", "_k")
-        .agg(F.max("_d.h").alias("_any"), F.max("_d").alias("_d"))
+        .agg(F.max("_d").alias("_d"))
     )
     ords = snapshots(df, scope, time).select(F.col(scope).alias("_s"), F.col(time).alias("_t"), "_ord", "_last")
     rows = rows.join(ords, ["_s", "_t"]).select("_s", "_k", "_ord", "_last", F.col("_d.h").alias("_hash"))
