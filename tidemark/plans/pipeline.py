@@ -102,4 +102,6 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return _references(spark, d).groupBy("source_table", "ref_month", "ref_status").agg(F.count(F.lit(1)).alias("n_refs"))
 
 
+from tidemark.plans.pipeline_sql import SQL  # noqa: E402, F401
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_table, p2_found, p2_paths, p2_descendants, p3_found, p4_found, p5_found, p5_report)}

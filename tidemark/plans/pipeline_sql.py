@@ -112,4 +112,48 @@ SELECT * FROM (
   WHERE l.op = 'drop_table' AND l.parent_table_id IS NOT NULL) z WHERE ref_status IS NOT NULL
 """
 
-SQL = {"p2_found": P2, "p3_found": P3, "p4_found": P4, "p5_found": P5}
+P1 = """
+WITH rec AS (
+  SELECT db_id, tid, xid, lsn, op, schema_name || '.' || table_name AS name, ddl_columns FROM (
+    SELECT *, row_number() OVER (PARTITION BY tid, xid, lsn ORDER BY received_at DESC) AS rn FROM ddl_log) x WHERE rn = 1),
+line AS (SELECT *, lag(name) OVER w AS prev_name, lead(xid) OVER w AS next_xid FROM rec WINDOW w AS (PARTITION BY tid ORDER BY xid, lsn)),
+ver AS (SELECT tid, xid, lsn, lag(xid) OVER w AS p_xid, lag(lsn) OVER w AS p_lsn, lead(xid) OVER w AS n_xid,
+    ddl_columns[1].name AS key FROM rec WHERE op = 'create_table' WINDOW w AS (PARTITION BY tid ORDER BY xid, lsn)),
+flat AS (SELECT tid, xid, lsn, unnest(ddl_columns) AS c FROM rec WHERE op = 'create_table'),
+col AS (SELECT f.tid, f.xid, f.lsn, f.c.name AS name,
+    CASE WHEN f.c.type_oid <> 0 THEN CAST(f.c.type_oid AS VARCHAR) ELSE coalesce(CAST(t.type_oid AS VARCHAR), lower(f.c.type_name)) END AS type
+  FROM flat f LEFT JOIN type_catalog t ON lower(t.type_name) = lower(f.c.type_name)),
+pair AS (SELECT * FROM ver WHERE p_xid IS NOT NULL),
+gone AS (SELECT p.tid, p.xid, p.lsn, c.name, c.type FROM pair p JOIN col c ON c.tid = p.tid AND c.xid = p.p_xid AND c.lsn = p.p_lsn
+  WHERE NOT EXISTS (SELECT 1 FROM col n WHERE n.tid = p.tid AND n.xid = p.xid AND n.lsn = p.lsn AND n.name = c.name)),
+came AS (SELECT p.tid, p.xid, p.lsn, c.name, c.type FROM pair p JOIN col c ON c.tid = p.tid AND c.xid = p.xid AND c.lsn = p.lsn
+  WHERE NOT EXISTS (SELECT 1 FROM col o WHERE o.tid = p.tid AND o.xid = p.p_xid AND o.lsn = p.p_lsn AND o.name = c.name)),
+held AS (SELECT DISTINCT d.db_id, d.schema_name, d.table_name, d.xid AS f_xid, l.tid
+  FROM (SELECT DISTINCT db_id, schema_name, table_name, xid FROM table_dump) d
+  JOIN line l ON l.db_id = d.db_id AND l.name = d.schema_name || '.' || d.table_name AND l.xid <= d.xid
+   AND (l.next_xid IS NULL OR l.next_xid > d.xid) AND l.op <> 'drop_table'),
+file AS (SELECT h.*, v.xid AS v_xid, v.lsn AS v_lsn, v.key FROM held h JOIN ver v ON v.tid = h.tid AND v.xid <= h.f_xid AND (v.n_xid IS NULL OR v.n_xid > h.f_xid)),
+doc AS (SELECT DISTINCT f.tid, f.v_xid, f.v_lsn, t.payload, json_extract_string(t.payload, '$."' || f.key || '"') AS k
+  FROM table_dump t JOIN file f ON f.db_id = t.db_id AND f.schema_name = t.schema_name AND f.table_name = t.table_name AND f.f_xid = t.xid),
+val AS (
+  SELECT g.tid, g.xid, g.lsn, g.name AS old_name, c.name AS new_name, o.k,
+         json_extract_string(o.payload, '$."' || g.name || '"') AS a, json_extract_string(n.payload, '$."' || c.name || '"') AS b
+  FROM gone g JOIN came c ON c.tid = g.tid AND c.xid = g.xid AND c.lsn = g.lsn
+  JOIN pair p ON p.tid = g.tid AND p.xid = g.xid AND p.lsn = g.lsn
+  JOIN doc o ON o.tid = p.tid AND o.v_xid = p.p_xid AND o.v_lsn = p.p_lsn
+  JOIN doc n ON n.tid = p.tid AND n.v_xid = p.xid AND n.v_lsn = p.lsn AND n.k = o.k),
+ren AS (SELECT tid, xid, lsn, old_name, new_name FROM val WHERE a IS NOT NULL OR b IS NOT NULL
+  GROUP BY 1, 2, 3, 4, 5 HAVING 2 * count(*) FILTER (WHERE a = b) > count(*)),
+same AS (SELECT p.tid, p.xid, p.lsn, o.name AS old_name, n.name AS new_name, o.type AS a, n.type AS b FROM pair p
+  JOIN col o ON o.tid = p.tid AND o.xid = p.p_xid AND o.lsn = p.p_lsn JOIN col n ON n.tid = p.tid AND n.xid = p.xid AND n.lsn = p.lsn
+  LEFT JOIN ren r ON r.tid = p.tid AND r.xid = p.xid AND r.lsn = p.lsn AND r.old_name = o.name AND r.new_name = n.name
+  WHERE o.name = n.name OR r.tid IS NOT NULL)
+SELECT tid, xid, lsn, 'renamed' AS change_kind, old_name, new_name FROM ren
+UNION ALL SELECT tid, xid, lsn, 'removed', name, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.tid = g.tid AND r.xid = g.xid AND r.lsn = g.lsn AND r.old_name = g.name)
+UNION ALL SELECT tid, xid, lsn, 'added', '', name FROM came g WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.tid = g.tid AND r.xid = g.xid AND r.lsn = g.lsn AND r.new_name = g.name)
+UNION ALL SELECT tid, xid, lsn, 'retyped', old_name, new_name FROM same WHERE a <> b
+UNION ALL SELECT tid, xid, lsn, CASE op WHEN 'rename_table' THEN 'table_renamed' ELSE 'schema_moved' END, prev_name, name FROM line
+  WHERE op IN ('rename_table', 'set_namespace') AND prev_name <> name
+"""
+
+SQL = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p5_found": P5}
