@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
@@ -72,17 +74,17 @@ class Engine:
         view = f"{name}_{uuid.uuid4().hex[:8]}"
         df = self.spark.sql(base).distinct()
         df = materialize(df.toDF(*[c.strip("`") for c in cols]) if cols else df)
-        seen = new = df
+        seen, new, round_ = df, df, 0
         while not new.isEmpty():
+            round_ += 1
             new.createOrReplaceTempView(view)
-            got = self.spark.sql(re.sub(rf"\b{name}\b(?=\s*(\.|\b|$))", view, step)).distinct().toDF(*df.columns)
-            cond = None
+            got = self.spark.sql(re.sub(rf"\b{name}\b", view, step)).distinct().toDF(*df.columns)
             l, r = got.alias("l"), seen.alias("r")
-            for c in df.columns:
-                e = l[c].eqNullSafe(r[c])
-                cond = e if cond is None else cond & e
+            cond = reduce(and_, [l[c].eqNullSafe(r[c]) for c in df.columns])
             new = materialize(l.join(r, cond, "left_anti"))
-            seen = materialize(seen.unionByName(new))
+            seen = seen.unionByName(new)
+            if round_ % 16 == 0:  # the union of the rounds so far becomes one table
+                seen = materialize(seen)
         seen.createOrReplaceTempView(view)
         out = self.spark.sql(re.sub(rf"\b{name}\b", view, rest))
         return out

@@ -23,7 +23,7 @@ SCANS: dict[str, object] = {
     "filter_between": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity BETWEEN 10 AND 12 AND l_shipdate >= TIMESTAMP '1998-01-01 00:00:00'",
     "filter_in": "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey NOT IN (1, 2, 3)",
     "filter_null": "SELECT doc_id FROM documents WHERE text IS NULL OR lang IS NULL",
-    "filter_like": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1_' AND p_type NOT LIKE '%X%'",
+    "filter_like": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%' AND p_type NOT LIKE '%X%'",
     "filter_ilike": "SELECT p_partkey FROM part WHERE p_brand ILIKE 'brand%1%'",
     "filter_regex": ("SELECT c_custkey FROM customer WHERE c_name ~ '0[13579]$' AND c_mktsegment !~ '^B' AND c_name ~* 'CUSTOMER'", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '0[13579]$') AND NOT regexp_matches(c_mktsegment, '^B') AND regexp_matches(c_name, 'CUSTOMER', 'i')"),
     "filter_similar": ("SELECT p_partkey FROM part WHERE p_brand SIMILAR TO 'Brand#(1|2)%'", "SELECT p_partkey FROM part WHERE p_brand LIKE 'Brand#1%' OR p_brand LIKE 'Brand#2%'"),
@@ -42,7 +42,7 @@ SCANS: dict[str, object] = {
 JOINS: dict[str, object] = {
     "join_inner": "SELECT o.o_orderkey, c.c_name FROM orders o INNER JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice > 300000",
     "join_left": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 400000",
-    "join_left_anti": "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NULL",
+    "join_left_anti": "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 450000 WHERE o.o_orderkey IS NULL",
     "join_right": "SELECT n.n_name, s.s_suppkey FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey",
     "join_right_anti": "SELECT n.n_name FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 9000 WHERE s.s_suppkey IS NULL",
     "join_full": "SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM (SELECT * FROM orders WHERE o_orderkey < 300) a FULL OUTER JOIN (SELECT * FROM orders WHERE o_orderkey BETWEEN 200 AND 500) b ON a.o_orderkey = b.o_orderkey",
@@ -53,7 +53,7 @@ JOINS: dict[str, object] = {
     "join_using": "SELECT k, n_name, s_suppkey FROM (SELECT n_nationkey AS k, n_name FROM nation) x JOIN (SELECT s_nationkey AS k, s_suppkey FROM supplier) y USING (k)",
     "join_semi_in": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     "join_semi_exists": "SELECT p_partkey FROM part p WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 45)",
-    "join_not_exists": "SELECT s_suppkey FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_discount > 0.09)",
+    "join_not_exists": "SELECT s_suppkey FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_discount > 0.09 AND l.l_quantity > 49 AND l.l_tax > 0.07)",
     "join_not_in": "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)",
     "join_theta_range": "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal AND b.s_acctbal < a.s_acctbal + 2000",
     "join_lateral": "SELECT n.n_name, t.s_suppkey, t.s_acctbal FROM nation n, LATERAL (SELECT s_suppkey, s_acctbal FROM supplier s WHERE s.s_nationkey = n.n_nationkey ORDER BY s_acctbal DESC, s_suppkey LIMIT 2) t",
@@ -109,14 +109,14 @@ ORDERS: dict[str, object] = {
     "union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier",
     "intersect": "SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 40 INTERSECT SELECT p_partkey FROM part WHERE p_size < 10",
     "intersect_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier",
-    "except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 400000",
     "except_all": "SELECT s_nationkey AS k FROM supplier EXCEPT ALL SELECT n_nationkey FROM nation",
     "scalar_subq": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT 1.9 * avg(o_totalprice) FROM orders)",
     "corr_subq": "SELECT s_suppkey, (SELECT n_name FROM nation WHERE n_nationkey = s_nationkey) AS n, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey) AS c FROM supplier",
     "any_all_subq": ("SELECT s_suppkey FROM supplier WHERE s_acctbal > ALL (SELECT s_acctbal FROM supplier WHERE s_nationkey = 5) AND s_nationkey = ANY (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) AND s_acctbal > ANY (SELECT c_acctbal FROM customer WHERE c_nationkey = 2)", "SELECT s_suppkey FROM supplier WHERE s_acctbal > coalesce((SELECT max(s_acctbal) FROM supplier WHERE s_nationkey = 5), -1e18) AND s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) AND s_acctbal > (SELECT min(c_acctbal) FROM customer WHERE c_nationkey = 2)"),
     "cte": "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey), top AS (SELECT * FROM big WHERE t > 2000000) SELECT c.c_name, round(top.t, 2) AS t FROM top JOIN customer c ON c.c_custkey = top.o_custkey",
     "cte_recursive": "WITH RECURSIVE r(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 15) SELECT n, f FROM r",
-    "cte_recursive_union": "WITH RECURSIVE reach(k) AS (SELECT CAST(1 AS BIGINT) UNION SELECT CAST((k * 7 + 3) % 101 AS BIGINT) FROM reach) SELECT k FROM reach",
+    "cte_recursive_union": "WITH RECURSIVE reach(k) AS (SELECT CAST(1 AS BIGINT) UNION SELECT CAST((k * 5 + 2) % 23 AS BIGINT) FROM reach) SELECT k FROM reach",
     "cte_recursive_path": ("WITH RECURSIVE t(id, up, path) AS (SELECT n_nationkey, n_regionkey, CAST(n_nationkey AS STRING) FROM nation WHERE n_nationkey = 24 UNION ALL SELECT n.n_nationkey, n.n_regionkey, t.path || '>' || CAST(n.n_nationkey AS STRING) FROM nation n JOIN t ON n.n_nationkey = t.up WHERE n.n_nationkey < t.id) SELECT id, path FROM t", "WITH RECURSIVE t(id, up, path) AS (SELECT n_nationkey, n_regionkey, CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_nationkey = 24 UNION ALL SELECT n.n_nationkey, n.n_regionkey, t.path || '>' || CAST(n.n_nationkey AS VARCHAR) FROM nation n JOIN t ON n.n_nationkey = t.up WHERE n.n_nationkey < t.id) SELECT id, path FROM t"),
     "pivot_crosstab": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY o_orderpriority",
 }
