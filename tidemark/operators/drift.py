@@ -197,5 +197,7 @@ def unified(ddl: DataFrame, dump: DataFrame, types: DataFrame) -> DataFrame:
     head = ["db_id", "schema_name", "table_name", "xid"]
     f = file_versions(dump, tl).join(per, ["tid", "v_xid", "v_lsn"])
     lines = salted_join(dump.select(*head, "line_no", "payload"), f, head, ["line_no", "payload"]).withColumn("_m", F.from_json("payload", "map<string,string>")).filter("_m is not null")
-    out = lines.select("tid", F.col("xid").alias("file_xid"), "v_xid", "v_lsn", F.expr("_m[key]").alias("row_key"), F.expr("array_sort(map_entries(transform_keys(map_filter(_m, (k, v) -> v is not null), (k, v) -> coalesce(names[k], k))))").alias("columns"))
-    return out.distinct().withColumn("columns", F.map_from_entries("columns"))
+    out = lines.select("tid", F.col("xid").alias("file_xid"), "v_xid", "v_lsn", F.expr("_m[key]").alias("row_key"), F.expr("array_sort(transform(filter(map_entries(_m), e -> e.value is not null), e -> struct(coalesce(names[e.key], e.key) as key, e.value as value)))").alias("columns"))
+    # a field that a line states twice counts once
+    once = F.expr("filter(columns, (e, i) -> not exists(slice(columns, 1, i), y -> y.key = e.key))")
+    return out.distinct().withColumn("columns", F.map_from_entries(once))

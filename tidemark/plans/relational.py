@@ -23,7 +23,7 @@ SCANS: dict[str, object] = {
     "filter_between": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity BETWEEN 10 AND 12 AND l_shipdate >= TIMESTAMP '1998-01-01 00:00:00'",
     "filter_in": "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey NOT IN (1, 2, 3)",
     "filter_null": "SELECT doc_id FROM documents WHERE text IS NULL OR lang IS NULL",
-    "filter_like": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%' AND p_type NOT LIKE '%X%'",
+    "filter_like": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%ri_g%' AND p_type NOT LIKE '%SMALL%'",
     "filter_ilike": "SELECT p_partkey FROM part WHERE p_brand ILIKE 'brand%1%'",
     "filter_regex": ("SELECT c_custkey FROM customer WHERE c_name ~ '0[13579]$' AND c_mktsegment !~ '^B' AND c_name ~* 'CUSTOMER'", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '0[13579]$') AND NOT regexp_matches(c_mktsegment, '^B') AND regexp_matches(c_name, 'CUSTOMER', 'i')"),
     "filter_similar": ("SELECT p_partkey FROM part WHERE p_brand SIMILAR TO 'Brand#(1|2)%'", "SELECT p_partkey FROM part WHERE p_brand LIKE 'Brand#1%' OR p_brand LIKE 'Brand#2%'"),
