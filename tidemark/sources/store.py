@@ -101,7 +101,7 @@ class Store:
         xs = self.xids()
         keep = [x for x in xs if x >= oldest] or xs[-1:]
         before = [x for x in xs if x < oldest]
-        keep = sorted({*keep, *before[-1:]})
+        keep = sorted({*keep, *([] if oldest in xs else before[-1:])})
         named = {p for x in keep for t in self.manifest(x)["tables"].values() for p in [t["base"], *t["logs"]]}
         gone = []
         for x in xs:
