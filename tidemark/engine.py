@@ -9,6 +9,7 @@ from functools import reduce
 from operator import and_
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.functions import udfs
 from tidemark.plans import classify, dialect
@@ -57,6 +58,10 @@ class Engine:
         if word == "deallocate":
             self.prepared.pop(text.split()[-1].rstrip(";").lower(), None)
             return self.spark.createDataFrame([("DEALLOCATE",)], "status string")
+        if word == "copy":
+            m = re.match(r"copy\s*(\(.*\)|[\w.\"]+(?:\s*\([^)]*\))?)\s+to\s+stdout(.*)$", text.strip().rstrip(";"), re.I | re.S)
+            src = m[1][1:-1] if m[1].startswith("(") else "SELECT " + ((re.search(r"\(([^)]*)\)", m[1]) or [0, "*"])[1]) + " FROM " + re.split(r"[\s(]", m[1])[0]
+            return self.lines(self.sql(src), "csv" in m[2].lower())
         if word == "explain":
             body = re.sub(r"^explain\s*(\([^)]*\)|analyze|verbose)*\s*", "", text, flags=re.I)
             plan = self.spark.sql(dialect.to_spark(body))._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
@@ -89,6 +94,14 @@ class Engine:
         out = self.spark.sql(re.sub(rf"\b{name}\b", view, rest))
         return out
 
+    @staticmethod
+    def lines(df: DataFrame, csv: bool = False) -> DataFrame:
+        """Rows as COPY writes them: text with tabs and \\N, or CSV."""
+        if csv:
+            return df.select(F.to_csv(F.struct("*"), {"quoteEscape": '"', "escapeQuotes": "true"}).alias("line"))
+        clean = lambda c: F.coalesce(F.regexp_replace(F.regexp_replace(F.col(f"`{c}`").cast("string"), r"\\", r"\\\\"), "\t", r"\\t"), F.lit("\\N"))
+        return df.select(F.concat_ws("\t", *[clean(c) for c in df.columns]).alias("line"))
+
     def cursor(self, name: str, text: str) -> None:
         """DECLARE: rows come to the driver one partition at a time."""
         self.cursors[name] = self.sql(text).toLocalIterator()

@@ -280,7 +280,13 @@ MISC: dict[str, Build] = {
     "gen_random_uuid": lambda: "uuid()", "xmlcomment": lambda x: f"concat('<!--', {x}, '-->')", "xmlconcat2": _same("concat"), "xmlagg": lambda x: f"array_join(collect_list({x}), '')", "xpath_exists": lambda p, x, *n: f"xpath_boolean({x}, {p})", "xpath": lambda p, x, *n: f"xpath({x}, {p})",
     "xml_is_well_formed": lambda x: f"tm_xml_ok({x})", "xml_is_well_formed_document": lambda x: f"tm_xml_ok({x})", "every": lambda x: f"bool_and({x})", "range_intersect_agg": lambda r: f"named_struct('lo', max({r}.lo), 'hi', min({r}.hi))", "variance": _same("var_samp"),
 }
-FUNCS: dict[str, Build] = STRINGS | MATH | DATES | ARRAYS | JSON | RANGES | GEO | NET | TEXT | MISC
+EXT: dict[str, Build] = {
+    "cube": lambda *a: f"transform(array({', '.join(a)}), v -> cast(v as double))" if len(a) > 1 or not a[0].startswith("array(") else f"transform({a[0]}, v -> cast(v as double))", "cube_dim": _same("size"), "cube_ll_coord": lambda c, n: f"try_element_at({c}, {n})", "cube_ur_coord": lambda c, n: f"try_element_at({c}, {n})",
+    "cube_distance": lambda a, b: f"sqrt(aggregate(zip_with({a}, {b}, (x, y) -> power(coalesce(x, 0) - coalesce(y, 0), 2)), 0D, (s, v) -> s + v))", "hstore": lambda k, v: f"if(typeof({k}) like 'array%', map_from_arrays({k}, {v}), null)" if k.startswith("array(") else f"map({k}, {v})",
+    "akeys": _same("map_keys"), "avals": _same("map_values"), "skeys": lambda m: f"explode(map_keys({m}))", "svals": lambda m: f"explode(map_values({m}))", "exist": _same("map_contains_key"), "defined": lambda m, k: f"({m}[{k}] is not null)", "hstore_to_json": _same("to_json"),
+    "similarity": lambda a, b: f"tm_similarity({a}, {b})", "show_trgm": lambda a: f"tm_trigrams({a})", "word_similarity": lambda a, b: f"tm_similarity({a}, {b})",
+}
+FUNCS: dict[str, Build] = EXT | STRINGS | MATH | DATES | ARRAYS | JSON | RANGES | GEO | NET | TEXT | MISC
 
 _TYPED = r"(?:u?int(?:2|24|28|4|42|48|8|82|84)?|float(?:4|48|8|84)|numeric_?|cash_?|text_?|name|bpchar|char|bool|byte?a|date_?|time(?:stamp(?:tz)?|tz)?_?|interval_?|uuid_?|enum_?|array_|record_|jsonb_|bit|oid|macaddr_?|network_)"
 _SIGNS = {"eq": "=", "ne": "<>", "lt": "<", "le": "<=", "gt": ">", "ge": ">=", "pl": "+", "mi": "-", "mul": "*", "add": "+", "sub": "-", "mod": "%", "and": "&", "or": "|", "xor": "^", "like": "LIKE", "nlike": "NOT LIKE", "iclike": "ILIKE", "icnlike": "NOT ILIKE", "regexeq": "RLIKE", "regexne": "NOT RLIKE"}
@@ -290,13 +296,22 @@ _RULE = re.compile(rf"^{_TYPED}({'|'.join(sorted([*_SIGNS, 'larger', 'smaller',
 def rule(name: str) -> str | None:
     """What a type's operator function does, by its name."""
     m = _RULE.match(name[2:] if name.startswith("bt") else name)
-    return m[1] if m else None
+    if m:
+        return m[1]
+    if re.match(r"^(hash_?(array|numeric|record|bpchar|char|enum|float[48]|int[248]|macaddr8?|name|text|range|multirange)|(interval|jsonb|timestamp|timetz|time|uuid)_hash)(_?extended)?$", name):
+        return "hash64" if name.endswith("extended") else "hash"
+    m = re.match(r"^\w+?_?(out|send)$", name)
+    return "out" if m and re.match(r"^(any\w*|array|bit|varbit|bool|box|bpchar|bytea|cash|char|cidr|circle|date|enum|float[48]|inet|int[248]|interval|json|jsonb|line|lseg|macaddr8?|name|numeric|path|point|poly|range|multirange|record|text|time(?:stamp)?(?:tz)?|uuid|varchar|void|xml|tsvector|tsquery)_?(out|send)$", name) else None
 
 
 def _by_rule(what: str, args: list[str]) -> str | None:
     a = [f"({x})" for x in args]
     if what in _SIGNS and len(a) == 2:
         return f"({a[0]} {_SIGNS[what]} {a[1]})"
+    if what in ("hash", "hash64"):  # the values are Spark's own
+        return f"{'hash' if what == 'hash' else 'xxhash64'}({args[0]})"
+    if what == "out":
+        return f"cast({args[0]} as string)"
     one = {"abs": "abs({0})", "um": "(-{0})", "up": "{0}", "not": "(~{0})", "inc": "({0} + 1)", "dec": "({0} - 1)"}
     two = {"larger": "greatest({0}, {1})", "_larger": "greatest({0}, {1})", "smaller": "least({0}, {1})", "_smaller": "least({0}, {1})", "shl": "shiftleft({0}, {1})", "shr": "shiftright({0}, {1})", "cmp": "cast(sign(if({0} < {1}, -1, if({0} > {1}, 1, 0))) as int)", "div": "({0} / {1})"}
     f = one.get(what) if len(a) == 1 else two.get(what) if len(a) == 2 else None

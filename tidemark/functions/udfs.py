@@ -223,6 +223,19 @@ def _similar(p: str) -> str:
     return "^(?:" + re.sub(r"[.^$]", lambda m: "\\" + m[0], p).replace("%", ".*").replace("_", ".") + ")$"
 
 
+def trigrams(x: str) -> list[str]:
+    out = set()
+    for w in re.findall(r"\w+", x.lower()):
+        p = f"  {w} "
+        out |= {p[i : i + 3] for i in range(len(p) - 2)}
+    return sorted(out)
+
+
+def similarity(a: str, b: str) -> float:
+    x, y = set(trigrams(a)), set(trigrams(b))
+    return len(x & y) / len(x | y) if x or y else 0.0
+
+
 # name: (result type, function of the values of one row)
 ROW = {
     "sha224": ("string", lambda x: hashlib.sha224(x if isinstance(x, bytes) else x.encode()).hexdigest()),
@@ -235,6 +248,7 @@ ROW = {
     "json_set": ("string", json_set), "json_insert": ("string", lambda x, p, v, a: json_set(x, p, v, a, True)), "json_concat": ("string", lambda a, b: dumps((lambda u, w: {**u, **w} if isinstance(u, dict) and isinstance(w, dict) else (u if isinstance(u, list) else [u]) + (w if isinstance(w, list) else [w]))(json.loads(a), json.loads(b)))),
     "json_contains": ("boolean", lambda a, b: contains(json.loads(a), json.loads(b))), "json_delete": ("string", _delete), "json_delete_path": ("string", _delete_path), "json_cmp": ("int", lambda a, b: (lambda u, w: (u > w) - (u < w))(_rank(json.loads(a)), _rank(json.loads(b)))),
     "json_path": ("array<string>", json_path), "lexemes": ("map<string,array<int>>", lexemes), "ts_match": ("boolean", ts_match), "ts_rank": ("float", lambda v, q: sum(len(p) for w, p in dict(v).items() if w in re.findall(r"\w+", q.lower())) / max(1, len(dict(v)))),
+    "trigrams": ("array<string>", trigrams), "similarity": ("float", similarity),
     "xml_ok": ("boolean", lambda x: _xml_ok(x)), "age": ("string", _age),
     "inet_abbrev": ("string", lambda x: x), "inet_masklen": ("int", lambda x: _ip(x).network.prefixlen), "inet_netmask": ("string", lambda x: str(_ip(x).netmask)), "inet_network": ("string", lambda x: str(_ip(x).network)), "inet_broadcast": ("string", lambda x: f"{_ip(x).network.broadcast_address}/{_ip(x).network.prefixlen}"),
     "inet_hostmask": ("string", lambda x: str(_ip(x).hostmask)), "inet_host": ("string", lambda x: str(_ip(x).ip)), "inet_family": ("int", lambda x: _ip(x).version),
@@ -259,7 +273,7 @@ def _gcd(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def register(spark: SparkSession) -> None:
     """Make the tm_ functions known to the session."""
-    n_args = {"regexp_first": 3, "json_set": 4, "json_insert": 4, "inet_within": 3} | dict.fromkeys(("groups", "all_groups", "json_concat", "json_contains", "json_delete", "json_delete_path", "json_cmp", "json_path", "ts_match", "ts_rank", "age"), 2)
+    n_args = {"regexp_first": 3, "json_set": 4, "json_insert": 4, "inet_within": 3} | dict.fromkeys(("groups", "all_groups", "json_concat", "json_contains", "json_delete", "json_delete_path", "json_cmp", "json_path", "ts_match", "ts_rank", "age", "similarity"), 2)
     for name, (kind, f) in ROW.items():
         n = n_args.get(name, 1)
         S = pd.Series

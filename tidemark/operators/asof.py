@@ -126,12 +126,14 @@ def asof_candidates(left: DataFrame, right: DataFrame, keys: Sequence[str], id_c
         )
         rs, ls = rs.unionByName(carry), ls.unionByName(back)
     lt, rtt = ls.schema["_left"].dataType, rs.schema["_right"].dataType
+    # beyond order and time, plain values decide, so that ties come out alike each time
+    plain = [f.name for f in rs.schema["_right"].dataType.fields if f.name not in order and f.name != right_known and isinstance(f.dataType, (T.NumericType, T.StringType, T.BooleanType))]
     order2 = [F.col("_right")[c] for c in order[1:]]
     both = rs.select(*keys, "_shard", "_pos", F.lit(0).alias("_event"), "_known", F.lit(None).cast(lt).alias("_left"), "_right").unionByName(
         ls.select(*keys, "_shard", "_pos", F.lit(1).alias("_event"), "_known", "_left", F.lit(None).cast(rtt).alias("_right"))
     )
     group = [*keys, "_shard"]
-    both = both.repartition(*group).sortWithinPartitions(*group, "_pos", "_event", *order2, "_known")
+    both = both.repartition(*group).sortWithinPartitions(*group, "_pos", "_event", *order2, "_known", *[F.col("_right")[c] for c in plain])
     schema = T.StructType([T.StructField("_left", lt), T.StructField("_right", rtt)])
     got = both.mapInArrow(_merger(group), schema)
     return got.select("_left.*", F.col("_right").alias("match"))

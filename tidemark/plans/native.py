@@ -156,6 +156,22 @@ def join_asof_lookup(spark, d):
     return got.select("request_id", F.col("match.xid").alias("last_xid"))
 
 
+def join_strategies(spark, d):
+    """The same join by broadcast, sort-merge and shuffled hash."""
+    o, c = load(spark, d, "orders").select("o_orderkey", "o_custkey"), load(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    out = None
+    for how in ("broadcast", "merge", "shuffle_hash"):
+        j = o.join(c.hint(how), "o_custkey").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")).withColumn("how", F.lit(how))
+        out = j if out is None else out.unionByName(j)
+    return out
+
+
+def sorted_merge(spark, d):
+    """Sorted inputs as one sorted output: union, then one range-partitioned sort."""
+    a, b = load(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit("c").alias("src")), load(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.lit("s").alias("src"))
+    return a.unionByName(b).orderBy("k", "src")
+
+
 def stream_window_counts(spark, d):
     return windowed_counts(load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 hour", "10 minutes").select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
 
@@ -195,6 +211,8 @@ SQL = {
         g AS (SELECT *, sum(n) OVER (PARTITION BY o_custkey ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT o_custkey, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY o_custkey, k""",
     "hypothetical_set": "SELECT s_nationkey, count(*) FILTER (WHERE s_acctbal < 3000) + 1 AS rank, count(DISTINCT s_acctbal) FILTER (WHERE s_acctbal < 3000) + 1 AS dense_rank, round(count(*) FILTER (WHERE s_acctbal < 3000) / count(*), 8) AS percent_rank, round((count(*) FILTER (WHERE s_acctbal <= 3000) + 1) / (count(*) + 1), 8) AS cume_dist FROM supplier GROUP BY s_nationkey",
     "join_asof_lookup": "SELECT r.request_id, max(p.xid) AS last_xid FROM (SELECT DISTINCT request_id, db_id, schema_xid FROM xid_request WHERE schema_xid IS NOT NULL) r LEFT JOIN xid_push p ON p.db_id = r.db_id AND p.xid <= r.schema_xid GROUP BY 1",
+    "join_strategies": "SELECT h.how, c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey CROSS JOIN (VALUES ('broadcast'), ('merge'), ('shuffle_hash')) AS h(how) GROUP BY 1, 2",
+    "sorted_merge": "SELECT c_custkey AS k, 'c' AS src FROM customer UNION ALL SELECT s_suppkey, 's' FROM supplier ORDER BY k, src",
     "stream_window_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
 SQL["compaction_view"] = SQL["cdc_latest"]
