@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.hierarchy import hierarchy
+
 # Kinds of catalog updates.
 NEW, REMOVED, RENAMED, NULLABLE, RESYNC, NEW_INDEX, DROP_INDEX, NO_CHANGE = range(8)
 
@@ -53,20 +55,10 @@ def union_view(leaves: Sequence[tuple[DataFrame, Column | None]]) -> DataFrame:
 
 
 def leaves_of(parts: DataFrame, root: int) -> list[int]:
-    """The tables without children below root in (tid, parent): the catalog of one database, a few rows a table."""
-    kids: dict[int, list[int]] = {}
-    for r in parts.filter("parent is not null").select("tid", "parent").collect():
-        kids.setdefault(r.parent, []).append(r.tid)
-    out, todo, seen = [], [root], set()
-    while todo:
-        t = todo.pop()
-        if t in seen:
-            continue
-        seen.add(t)
-        todo += kids.get(t, [])
-        if t not in kids:
-            out.append(t)
-    return sorted(out)
+    """The tables without children below root in (tid, parent), which are its leaf partitions."""
+    p = parts.select(F.lit(0).alias("_s"), "tid", "parent")
+    below = hierarchy(p, ["_s"], "tid", "parent", every_ancestor=True).filter(F.col("root") == root).select(F.col("node").alias("tid"))
+    return sorted(r.tid for r in below.join(p.select(F.col("parent").alias("tid")), "tid", "left_anti").distinct().collect())
 
 
 def enum_rank(col: str, labels: dict[str, float]) -> Column:

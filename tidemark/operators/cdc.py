@@ -31,9 +31,8 @@ def committed(changes: DataFrame, transactions: DataFrame) -> DataFrame:
 
 def after_truncate(changes: DataFrame) -> DataFrame:
     """The changes behind the last truncation."""
-    last = changes.filter("op = 'T'").agg(F.max(pos()).alias("_t"))
-    # one row: the bound of this broadcast is the aggregate itself
-    return changes.crossJoin(F.broadcast(last)).filter(F.col("_t").isNull() | (pos() > F.col("_t"))).drop("_t")
+    last = changes.filter("op = 'T'").agg(F.max(pos()).alias("t")).first().t  # one position
+    return changes if last is None else changes.filter(pos() > F.struct(*[F.lit(v).cast("long").alias(c) for c, v in zip(POS, last)]))
 
 
 def split_key_updates(changes: DataFrame, keys: Sequence[str], old: str = "_old") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.skew import salted_join
 
 
-def snapshot_orphans(child: DataFrame, parent: DataFrame, salts: int = 16) -> DataFrame:
+def snapshot_orphans(child: DataFrame, parent: DataFrame) -> DataFrame:
     """child (scope, record_id, ref_id, at) refers to parent (scope, key, at), given as full snapshots per scope.
 
     Returns the child rows, distinct, whose ref_id the last snapshot of the parent at or before `at` lacks, with
@@ -36,10 +36,10 @@ def snapshot_orphans(child: DataFrame, parent: DataFrame, salts: int = 16) -> Da
     has = F.max("_p").over(W.partitionBy("scope", "key"))
     status = F.when(had == 1, "deleted").when(has == 1, "later").otherwise("missing")
     bad = groups.select("*", status.alias("ref_status")).filter("_p = 0 and _c > 0").select("scope", F.col("key").alias("ref_id"), "ord", "ref_status")
-    return salted_join(c, bad, ["scope", "ref_id", "ord"], ["record_id", "at"], salts=salts).select("scope", "record_id", "ref_id", "at", "ref_status")
+    return salted_join(c, bad, ["scope", "ref_id", "ord"], ["record_id", "at"]).select("scope", "record_id", "ref_id", "at", "ref_status")
 
 
-def event_orphans(child: DataFrame, events: DataFrame, salts: int = 16) -> DataFrame:
+def event_orphans(child: DataFrame, events: DataFrame) -> DataFrame:
     """child (scope, record_id, ref_id, xid, lsn, at) refers to keys that events (scope, key, kind create | drop, xid,
     lsn) bring and take away.
 
@@ -54,6 +54,6 @@ def event_orphans(child: DataFrame, events: DataFrame, salts: int = 16) -> DataF
     )
     groups = tagged.groupBy("scope", "key").agg(F.sum("_c").alias("_c"), F.min(F.when(F.col("kind") == "create", pos)).alias("_made"), F.min(F.when(F.col("kind") == "drop", pos)).alias("_gone"))
     bad = groups.filter("_c > 0").select("scope", F.col("key").alias("ref_id"), "_made", "_gone")
-    got = salted_join(c, bad, ["scope", "ref_id"], ["record_id"], salts=salts)
+    got = salted_join(c, bad, ["scope", "ref_id"], ["record_id"])
     status = F.when(F.col("_made").isNull(), "missing").when(F.col("_made") > pos, "later").when(F.col("_gone") < pos, "deleted")
     return got.select("scope", "record_id", "ref_id", "at", status.alias("ref_status")).filter("ref_status is not null")

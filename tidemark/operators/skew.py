@@ -1,8 +1,8 @@
 """Hot keys: finding them, sharding them by order, salting joins on them.
 
 A key counts as hot if it holds more than `rows` rows. Only the MOST largest keys are looked at: a key beyond these
-holds less than 1/MOST of all rows, so it cannot be a straggler; what is collected or broadcast here is bounded by
-MOST keys times SHARDS shards, whatever the size of the data.
+holds less than 1/MOST of all rows, so it cannot be a straggler. All hot keys together get at most TOTAL shards (and
+one each), so that what is collected or broadcast here is bounded whatever the size of the data.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MOST = 1024
-SHARDS = 64
+TOTAL = 1 << 16
+SALTS = 1024
 ROWS = 50_000
+_STEP = 128
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = ROWS) -> DataFrame | None:
@@ -26,17 +28,24 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = ROWS) -> DataFrame
 
 
 def shard_bounds(df: DataFrame, keys: Sequence[str], at: str, rows: int = ROWS) -> DataFrame | None:
-    """For each hot key the values of `at` that part it into shards of about `rows` rows (_bounds)."""
+    """For each hot key the values of `at` that part it into shards of about `rows` rows (_bounds), or of more, where
+    that would make more than TOTAL shards."""
     hot = hot_keys(df, keys, rows)
     if hot is None:
         return None
-    cuts = [i / SHARDS for i in range(1, SHARDS)]
+    sizes = hot.agg(F.sum("_n"), F.max("_n")).first()
+    each = max(rows, sizes[0] // TOTAL)
+    grid = 64
+    while grid < sizes[1] / each and grid < TOTAL // 4:
+        grid *= 2
     got = (
         df.join(F.broadcast(hot), list(keys))
         .groupBy(*keys)
-        .agg(F.first("_n").alias("_n"), F.percentile_approx(at, cuts, 2000).alias("_q"))
-        .withColumn("_step", F.greatest(F.lit(1), F.expr(f"cast({SHARDS} * {rows} / _n as int)")))
+        .agg(F.first("_n").alias("_n"), F.percentile_approx(at, [i / grid for i in range(1, grid)], 16 * grid).alias("_q"))
+        .withColumn("_step", F.greatest(F.lit(1), F.expr(f"cast({grid} * {each}L / _n as int)")))
         .select(*keys, F.expr("array_distinct(filter(_q, (v, i) -> (i + 1) % _step = 0))").alias("_bounds"))
+        # the last bound of each _STEP, so that a bound is found in two short scans
+        .withColumn("_coarse", F.expr(f"transform(filter(sequence(0, size(_bounds) div {_STEP}), k -> k > 0), k -> _bounds[k * {_STEP} - 1])"))
     )
     return df.sparkSession.createDataFrame(got.collect(), got.schema)
 
@@ -46,23 +55,26 @@ def with_shard(df: DataFrame, keys: Sequence[str], at: str | Column, bounds: Dat
     if bounds is None:
         return df.withColumn("_shard", F.lit(0))
     at = F.col(at) if isinstance(at, str) else at
+    block = F.expr("size(filter(_coarse, b -> b <= _at))")
+    fine = F.expr(f"_block * {_STEP} + size(filter(slice(_bounds, _block * {_STEP} + 1, {_STEP}), b -> b <= _at))")
     return (
         df.withColumn("_at", at)
         .join(F.broadcast(bounds), list(keys), "left")
-        .withColumn("_shard", F.expr("if(_bounds is null or _at is null, 0, size(filter(_bounds, b -> b <= _at)))"))
-        .drop("_bounds", "_at")
+        .withColumn("_block", block)
+        .withColumn("_shard", F.when(F.col("_bounds").isNull() | F.col("_at").isNull(), F.lit(0)).otherwise(fine))
+        .drop("_bounds", "_coarse", "_block", "_at")
     )
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], salt_on: Sequence[str], how: str = "inner", salts: int = 16, rows: int = ROWS) -> DataFrame:
-    """Equi-join in which hot keys of `big` are spread over `salts` tasks; only their rows of `small` are repeated.
-    The salt is a hash of salt_on, so that a task that runs again deals its rows alike."""
+def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], salt_on: Sequence[str], how: str = "inner", rows: int = ROWS) -> DataFrame:
+    """Equi-join in which a hot key of `big` is spread over a task for each `rows` rows (SALTS at most), and its rows of
+    `small` are repeated for each; other keys are joined as usual. The salt is a hash of salt_on, so that a task that runs again deals its rows alike."""
     hot = hot_keys(big, on, rows)
     if hot is None:
         return big.join(small, list(on), how)
-    marks = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
-    b = big.join(marks, list(on), "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
-    s = small.join(marks, list(on), "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    marks = F.broadcast(hot.select(*on, F.least(F.lit(SALTS), F.ceil(F.col("_n") / rows)).cast("int").alias("_hot")))
+    b = big.join(marks, list(on), "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*salt_on), F.col("_hot")).cast("int"), F.lit(0))).drop("_hot")
+    s = small.join(marks, list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_hot"), F.lit(1)) - 1))).drop("_hot")
     return b.join(s, [*on, "_salt"], how).drop("_salt")
 
 
