@@ -26,6 +26,9 @@ ONE = [
     ("point_distance(point(0, 0), point(3, 4))", 5.0), ("circle_contain_pt(circle(point(0, 0), 2), point(1, 1))", True), ("area(box(point(0, 0), point(2, 3)))", 6.0), ("masklen('10.0.0.0/8')", 8), ("network_sub('10.1.0.0/16', '10.0.0.0/8')", True), ("host('10.1.2.3/24')", "10.1.2.3"),
     ("ts_match_vq(to_tsvector('The quick brown fox'), 'quick & !dog')", True), ("int4pl(2, 3)", 5), ("float8larger(1.5, 2.5)::float8", 2.5), ("btint4cmp(1, 2)", -1), ("textlike('abc', 'a%')", True), ("xml_is_well_formed('<a/>')", True),
     ("cube_distance(cube(ARRAY[0,0]), cube(ARRAY[3,4]))", 5.0), ("(akeys(hstore('a', 'b')))[1]", "a"), ("round(similarity('word', 'two words')::float8, 6)", 0.363636), ("int4out(5)", "5"), ("hashtext('a') = hashtext('a')", True),
+    ("box_left(box(point(0,0), point(1,1)), box(point(2,0), point(3,1)))", True), ("circle_lt(circle(point(0,0), 1), circle(point(5,5), 2))", True), ("circle_contain(circle(point(0,0), 3), circle(point(1,0), 1))", True), ("lseg_perp(lseg(point(0,0), point(1,0)), lseg(point(0,0), point(0,2)))", True),
+    ("multirange_contains_elem(int4multirange(int4range(1, 3), int4range(5, 7)), 6)", True), ("multirange_contains_elem(int4multirange(int4range(1, 3), int4range(5, 7)), 3)", False), ("date_eq_timestamp(DATE '2024-01-02', TIMESTAMP '2024-01-02 00:00:00')", True), ("to_char(date_pli(DATE '2024-01-02', 3), 'YYYY-MM-DD')", "2024-01-05"),
+    ("nameeqtext('a', 'a')", True), ("text_pattern_lt('a', 'b')", True), ("cash_mul_int4(2.50, 2)::float8", 5.0), ("int4in('17')", 17), ("texticregexeq('ABC', 'b')", True), ("numeric_power(2.0, 3.0)::float8", 8.0), ("ts_match_tt('a quick fox', tsquery_and('quick', 'fox'))", True),
     ("array_position(ARRAY[1,2], 9)", None), ("array_remove(ARRAY[1,2,1], 1)[1]", 2), ("width_bucket(5.35, 0.024, 10.06, 5)", 3), ("btrim('xxaxx', 'x')", "a"), ("position('b' in 'abc')", 2), ("overlay('abcdef' placing 'ZZ' from 3 for 2)", "abZZef"),
 ]
 

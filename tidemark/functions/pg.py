@@ -286,7 +286,61 @@ EXT: dict[str, Build] = {
     "akeys": _same("map_keys"), "avals": _same("map_values"), "skeys": lambda m: f"explode(map_keys({m}))", "svals": lambda m: f"explode(map_values({m}))", "exist": _same("map_contains_key"), "defined": lambda m, k: f"({m}[{k}] is not null)", "hstore_to_json": _same("to_json"),
     "similarity": lambda a, b: f"tm_similarity({a}, {b})", "show_trgm": lambda a: f"tm_trigrams({a})", "word_similarity": lambda a, b: f"tm_similarity({a}, {b})",
 }
-FUNCS: dict[str, Build] = EXT | STRINGS | MATH | DATES | ARRAYS | JSON | RANGES | GEO | NET | TEXT | MISC
+# boxes and circles by their bounds: (least x, greatest x, least y, greatest y)
+_BOUNDS = {"box": lambda a: (f"{a}.x0", f"{a}.x1", f"{a}.y0", f"{a}.y1"), "circle": lambda a: (f"({a}.x - {a}.r)", f"({a}.x + {a}.r)", f"({a}.y - {a}.r)", f"({a}.y + {a}.r)")}
+_PLACE = {
+    "left": lambda a, b: f"({a[1]} < {b[0]})", "right": lambda a, b: f"({a[0]} > {b[1]})", "below": lambda a, b: f"({a[3]} < {b[2]})", "above": lambda a, b: f"({a[2]} > {b[3]})",
+    "overleft": lambda a, b: f"({a[1]} <= {b[1]})", "overright": lambda a, b: f"({a[0]} >= {b[0]})", "overbelow": lambda a, b: f"({a[3]} <= {b[3]})", "overabove": lambda a, b: f"({a[2]} >= {b[2]})",
+}
+_AREA = {"box": lambda a: f"(({a}.x1 - {a}.x0) * ({a}.y1 - {a}.y0))", "circle": lambda a: f"(pi() * {a}.r * {a}.r)"}
+_CMPS = {"eq": "=", "ne": "<>", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}
+
+
+def _placed(shape: str, how: str) -> Build:
+    return lambda a, b: _PLACE[how](_BOUNDS[shape](a), _BOUNDS[shape](b))
+
+
+def _sized(shape: str, op: str) -> Build:
+    return lambda a, b: f"({_AREA[shape](a)} {op} {_AREA[shape](b)})"
+
+
+def _shift(shape: str, sign: str) -> Build:
+    if shape == "box":
+        return lambda a, p: f"named_struct('x1', {a}.x1 {sign} {p}.x, 'y1', {a}.y1 {sign} {p}.y, 'x0', {a}.x0 {sign} {p}.x, 'y0', {a}.y0 {sign} {p}.y)"
+    return lambda a, p: f"named_struct('x', {a}.x {sign} {p}.x, 'y', {a}.y {sign} {p}.y, 'r', {a}.r)"
+
+
+SHAPES: dict[str, Build] = (
+    {f"{s}_{h}": _placed(s, h) for s in _BOUNDS for h in _PLACE}
+    | {f"{s}_{c}": _sized(s, op) for s in _BOUNDS for c, op in _CMPS.items()}
+    | {"box_add": _shift("box", "+"), "box_sub": _shift("box", "-"), "circle_add_pt": _shift("circle", "+"), "circle_sub_pt": _shift("circle", "-")}
+    | {
+        "box_contained": lambda a, b: f"({b}.x0 <= {a}.x0 and {b}.x1 >= {a}.x1 and {b}.y0 <= {a}.y0 and {b}.y1 >= {a}.y1)", "box_same": lambda a, b: f"({a} = {b})", "circle_same": lambda a, b: f"({a} = {b})", "box_distance": lambda a, b: f"sqrt(power(({a}.x0 + {a}.x1 - {b}.x0 - {b}.x1) / 2, 2) + power(({a}.y0 + {a}.y1 - {b}.y0 - {b}.y1) / 2, 2))",
+        "box_intersect": lambda a, b: f"if({GEO['box_overlap'](a, b)}, named_struct('x1', least({a}.x1, {b}.x1), 'y1', least({a}.y1, {b}.y1), 'x0', greatest({a}.x0, {b}.x0), 'y0', greatest({a}.y0, {b}.y0)), null)", "bound_box": lambda a, b: f"named_struct('x1', greatest({a}.x1, {b}.x1), 'y1', greatest({a}.y1, {b}.y1), 'x0', least({a}.x0, {b}.x0), 'y0', least({a}.y0, {b}.y0))",
+        "circle_center": lambda c: f"named_struct('x', {c}.x, 'y', {c}.y)", "circle_contain": lambda a, b: f"({_PT(a, b)} <= {a}.r - {b}.r)", "circle_contained": lambda a, b: f"({_PT(a, b)} <= {b}.r - {a}.r)", "pt_contained_circle": lambda p, c: f"({_PT(c, p)} <= {c}.r)", "dist_pc": lambda p, c: f"greatest({_PT(p, c)} - {c}.r, 0)", "dist_cpoint": lambda c, p: f"greatest({_PT(p, c)} - {c}.r, 0)",
+        "diagonal": lambda a: f"named_struct('a', named_struct('x', {a}.x1, 'y', {a}.y1), 'b', named_struct('x', {a}.x0, 'y', {a}.y0))", "point_ne": lambda a, b: f"({a}.x <> {b}.x or {a}.y <> {b}.y)", "point_mul": lambda a, b: f"named_struct('x', {a}.x * {b}.x - {a}.y * {b}.y, 'y', {a}.x * {b}.y + {a}.y * {b}.x)",
+        "lseg_center": lambda s: f"named_struct('x', ({s}.a.x + {s}.b.x) / 2, 'y', ({s}.a.y + {s}.b.y) / 2)", "lseg_horizontal": lambda s: f"({s}.a.y = {s}.b.y)", "lseg_vertical": lambda s: f"({s}.a.x = {s}.b.x)", "ishorizontal": lambda a, b: f"({a}.y = {b}.y)", "isvertical": lambda a, b: f"({a}.x = {b}.x)",
+        "lseg_parallel": lambda s, t: f"(({s}.b.x - {s}.a.x) * ({t}.b.y - {t}.a.y) = ({s}.b.y - {s}.a.y) * ({t}.b.x - {t}.a.x))", "lseg_perp": lambda s, t: f"(({s}.b.x - {s}.a.x) * ({t}.b.x - {t}.a.x) + ({s}.b.y - {s}.a.y) * ({t}.b.y - {t}.a.y) = 0)", "lseg_eq": lambda s, t: f"({s} = {t})", "lseg_ne": lambda s, t: f"({s} <> {t})",
+    }
+)
+# multiranges are arrays of ranges that neither overlap nor touch
+_MANY: dict[str, Build] = {
+    "multirange_contains_elem": lambda m, x: f"exists({m}, r -> {_in('r', x)})", "elem_contained_by_multirange": lambda x, m: f"exists({m}, r -> {_in('r', x)})", "multirange_contains_range": lambda m, a: f"exists({m}, r -> {_covers('r', a)})", "range_contained_by_multirange": lambda a, m: f"exists({m}, r -> {_covers('r', a)})",
+    "multirange_overlaps_range": lambda m, a: f"exists({m}, r -> {_overlap('r', a)})", "range_overlaps_multirange": lambda a, m: f"exists({m}, r -> {_overlap('r', a)})", "multirange_overlaps_multirange": lambda m, n: f"exists({m}, r -> exists({n}, s -> {_overlap('r', 's')}))", "multirange_contains_multirange": lambda m, n: f"forall({n}, s -> exists({m}, r -> {_covers('r', 's')}))",
+    "multirange_contained_by_multirange": lambda n, m: f"forall({n}, s -> exists({m}, r -> {_covers('r', 's')}))", "multirange_before_range": lambda m, a: f"forall({m}, r -> coalesce({_before('r', a)}, false))", "multirange_after_range": lambda m, a: f"forall({m}, r -> coalesce({_before(a, 'r')}, false))", "multirange_intersect": lambda m, n: f"array_compact(flatten(transform({m}, r -> transform({n}, s -> {_meet('r', 's')}))))",
+    "multirange": lambda a: f"array({a})", "multirange_eq": lambda a, b: f"({a} <=> {b})", "multirange_ne": lambda a, b: f"(not ({a} <=> {b}))",
+}
+_MANY |= {f"{k}multirange": lambda *a: f"array({', '.join(a)})" for k in ("int4", "int8", "num", "date", "ts", "tstz")}
+PLAIN: dict[str, Build] = {
+    **{f"numeric_{k}": _same(k) for k in ("exp", "ln", "power", "sqrt")}, "numeric_log": lambda b, x: f"log({b}, {x})", "numeric_uminus": lambda x: f"(-({x}))", "numeric_uplus": lambda x: f"({x})", "numeric_div_trunc": lambda a, b: MATH["div"](a, b), "textlen": _same("length"), "bitcat": _same("concat"), "byteacat": _same("concat"),
+    "date_pli": lambda a, b: f"date_add({a}, {b})", "date_mii": lambda a, b: f"date_sub({a}, {b})", "integer_pl_date": lambda a, b: f"date_add({b}, {a})", "mul_d_interval": lambda a, b: f"({b} * {a})", "justify_hours": lambda i: i, "justify_days": lambda i: i, "justify_interval": lambda i: i, "get_byte": lambda x, n: f"cast(conv(hex(substring({x}, ({n}) + 1, 1)), 16, 10) as int)",
+    "cash_words": lambda x: f"cast({x} as string)", "cash_div_cash": lambda a, b: f"(cast({a} as double) / cast({b} as double))", "xml": _cast("string"), "xmlexists": lambda p, x: f"xpath_boolean({x}, {p})", "xml_is_well_formed_content": lambda x: f"tm_xml_ok(concat('<r>', {x}, '</r>'))", "convert": lambda x, a, b: f"encode(decode({x}, {a}), {b})",
+    **{f"jsonb_path_{k}_{t}": _J[f"path_{k}"] for k in ("exists", "match") for t in ("opr", "tz")}, **{f"jsonb_path_{k}_tz": _J[f"path_{k}"] for k in ("query", "query_first", "query_array")}, **{f"{j}_object_agg_unique_strict": _J["object_agg_strict"] for j in ("json", "jsonb")},
+    "ts_match_qv": lambda q, v: f"tm_ts_match({v}, {q})", "ts_match_tt": lambda x, q: f"tm_ts_match(tm_lexemes({x}), {q})", "ts_match_tq": lambda x, q: f"tm_ts_match(tm_lexemes({x}), {q})", "ts_rank_cd": lambda v, q, *n: f"tm_ts_rank({v}, {q})", "array_to_tsvector": lambda a: f"tm_lexemes(array_join({a}, ' '))", "tsquery_and": lambda a, b: f"concat('(', {a}, ') & (', {b}, ')')",
+    "tsquery_or": lambda a, b: f"concat('(', {a}, ') | (', {b}, ')')", "tsquery_not": lambda a: f"concat('!(', {a}, ')')", "tsquery_phrase": lambda a, b, *n: f"concat({a}, ' <-> ', {b})", "phraseto_tsquery": lambda *a: f"array_join(array_sort(map_keys(tm_lexemes({a[-1]}))), ' <-> ')", "numnode": lambda q: f"regexp_count({q}, '[^\\s&|!()]+|[&|!]')", "querytree": lambda q: q,
+    "to_number": lambda x, f: f"to_number({x}, {f})", "ts_delete": lambda v, w: f"map_filter({v}, (k, p) -> k <> {w})",
+}
+FUNCS: dict[str, Build] = PLAIN | _MANY | SHAPES | EXT | STRINGS | MATH | DATES | ARRAYS | JSON | RANGES | GEO | NET | TEXT | MISC
 
 _TYPED = r"(?:u?int(?:2|24|28|4|42|48|8|82|84)?|float(?:4|48|8|84)|numeric_?|cash_?|text_?|name|bpchar|char|bool|byte?a|date_?|time(?:stamp(?:tz)?|tz)?_?|interval_?|uuid_?|enum_?|array_|record_|jsonb_|bit|oid|macaddr_?|network_)"
 _SIGNS = {"eq": "=", "ne": "<>", "lt": "<", "le": "<=", "gt": ">", "ge": ">=", "pl": "+", "mi": "-", "mul": "*", "add": "+", "sub": "-", "mod": "%", "and": "&", "or": "|", "xor": "^", "like": "LIKE", "nlike": "NOT LIKE", "iclike": "ILIKE", "icnlike": "NOT ILIKE", "regexeq": "RLIKE", "regexne": "NOT RLIKE"}
@@ -298,6 +352,15 @@ def rule(name: str) -> str | None:
     m = _RULE.match(name[2:] if name.startswith("bt") else name)
     if m:
         return m[1]
+    # operators over two types: date_pl_interval, timestamp_eq_date, nameeqtext, text_pattern_lt, cash_mul_int4 ...
+    two = r"(?:date|time|timetz|timestamp|timestamptz|interval|cash|flt[48]|int[248]|datetime|datetimetz|timedate|timetzdate)"
+    for pattern in (rf"^{two}_(pl|mi|eq|ne|lt|le|gt|ge|cmp|mul|div)_{two}$", rf"^{two}_(pl|mi|mul|div)$", r"^(?:name|text)(eq|ne|lt|le|gt|ge)(?:name|text)$", r"^(?:text|bpchar)_pattern_(ge|gt|le|lt)$", r"^record_image_(eq|ne|lt|le|gt|ge)$", r"^macaddr8_(eq|ne|lt|le|gt|ge|cmp|and|or|not)$", r"^(?:bpchar|name|text)ic(regexeq|regexne)$", r"^bt(?:array|bpchar_pattern|nametext|record|recordimage|text_pattern|textname)(cmp)$", r"^cid(eq)r$"):
+        m = re.match(pattern, name)
+        if m:
+            return "ic" + m[1] if "icregex" in name else m[1]
+    m = re.match(r"^(bool|date|float[48]|int[248]|json|jsonb|name|text|uuid|cidr|macaddr8?|interval|numeric|inet|cash|varchar|bpchar|char|xml|time|timestamp|timestamptz)_?in$", name)
+    if m:
+        return "in:" + m[1]
     if re.match(r"^(hash_?(array|numeric|record|bpchar|char|enum|float[48]|int[248]|macaddr8?|name|text|range|multirange)|(interval|jsonb|timestamp|timetz|time|uuid)_hash)(_?extended)?$", name):
         return "hash64" if name.endswith("extended") else "hash"
     m = re.match(r"^\w+?_?(out|send)$", name)
@@ -308,6 +371,11 @@ def _by_rule(what: str, args: list[str]) -> str | None:
     a = [f"({x})" for x in args]
     if what in _SIGNS and len(a) == 2:
         return f"({a[0]} {_SIGNS[what]} {a[1]})"
+    if what.startswith("in:"):
+        kind = {"bool": "boolean", "float4": "float", "float8": "double", "int2": "smallint", "int4": "int", "int8": "bigint", "date": "date", "time": "time", "timestamp": "timestamp_ntz", "timestamptz": "timestamp", "numeric": "decimal(38,10)", "cash": "decimal(19,2)", "interval": "interval day to second"}.get(what[3:], "string")
+        return f"cast({args[0]} as {kind})"
+    if what in ("icregexeq", "icregexne"):
+        return f"({a[0]} {'NOT ' if what.endswith('ne') else ''}RLIKE concat('(?i)', {a[1]}))"
     if what in ("hash", "hash64"):  # the values are Spark's own
         return f"{'hash' if what == 'hash' else 'xxhash64'}({args[0]})"
     if what == "out":
