@@ -91,3 +91,35 @@ def valid_table(columns: DataFrame, ok_schemas: Sequence[str]) -> DataFrame:
 def struct_of(columns: Sequence[tuple[str, str, bool]]) -> T.StructType:
     """A Spark schema of catalog columns (name, Spark type, nullable)."""
     return T.StructType([T.StructField(n, T.DataType.fromDDL(t), u) for n, t, u in columns])
+
+
+def system_tables(ddl: DataFrame, columns: DataFrame) -> dict[str, DataFrame]:
+    """The catalog as tables, each entry versioned by (xid, lsn), from DDL records and column versions.
+
+    Namespaces have their names as ids. A record that came twice is one entry. Indexes, roots and user types have no
+    source among these records; their tables are there, and empty.
+    """
+    rec = ddl.dropna(subset=["tid", "xid", "lsn"]).dropDuplicates(["db_id", "tid", "xid", "lsn", "op"])
+    cols = columns.groupBy("db_id", "table_id", "col_position", "xid", "lsn").agg(F.max_by(F.struct("col_exists", "col_name", "type_name", "pg_type", "is_nullable", "update_type"), F.struct("recorded_at", "history_id")).alias("c"))
+    spark = ddl.sparkSession
+    empty = lambda ddl_text: spark.createDataFrame([], ddl_text)
+    first = rec.filter("schema_name is not null").groupBy("db_id", "schema_name").agg(F.min(F.struct("xid", "lsn")).alias("f"))
+    return {
+        "table_names": rec.select("db_id", F.col("schema_name").alias("namespace"), F.col("table_name").alias("name"), F.col("tid").alias("table_id"), "xid", "lsn", (F.col("op") != "drop_table").alias("exists"), "parent_table_id", "partition_key", "partition_bound", "rls_enabled"),
+        "schemas": cols.select("db_id", "table_id", F.col("col_position").alias("position"), "xid", "lsn", F.col("c.col_exists").alias("exists"), F.col("c.col_name").alias("name"), F.col("c.type_name").alias("type"), "c.pg_type", F.col("c.is_nullable").alias("nullable"), "c.update_type"),
+        "namespace_names": first.select("db_id", F.col("schema_name").alias("name"), "f.xid", "f.lsn", F.lit(True).alias("exists")),
+        "table_roots": empty("db_id bigint, table_id bigint, index_id bigint, xid bigint, path string"),
+        "indexes": empty("db_id bigint, table_id bigint, index_id bigint, xid bigint, lsn bigint, position int, column_id int"),
+        "table_stats": empty("db_id bigint, table_id bigint, xid bigint, row_count bigint"),
+        "index_names": empty("db_id bigint, table_id bigint, index_id bigint, xid bigint, lsn bigint, namespace string, name string, state int, is_unique boolean"),
+        "user_types": empty("db_id bigint, type_id bigint, namespace string, name string, value string, xid bigint, lsn bigint, type string, exists boolean"),
+    }
+
+
+# States of an index.
+NOT_READY, READY, DELETED, BEING_DELETED = range(4)
+
+
+def ready_indexes(names: DataFrame, xid: int) -> DataFrame:
+    """The indexes that reads at a transaction may rely on, from the versions of index_names."""
+    return as_of(names, ["db_id", "table_id", "index_id"], xid).filter(F.col("state") == READY)

@@ -102,6 +102,18 @@ def catalog_tables_asof(spark, d):
     return catalog.as_of(h, ["db_id", "tid"], 1_400_000, "alive").select("db_id", "tid", "schema_name", "table_name")
 
 
+def catalog_scan_tables(spark, d):
+    return catalog.system_tables(load(spark, d, "ddl_log"), load(spark, d, "column_history"))["table_names"]
+
+
+def catalog_scan_columns(spark, d):
+    return catalog.system_tables(load(spark, d, "ddl_log"), load(spark, d, "column_history"))["schemas"]
+
+
+def catalog_scan_namespaces(spark, d):
+    return catalog.system_tables(load(spark, d, "ddl_log"), load(spark, d, "column_history"))["namespace_names"]
+
+
 def schema_evolve_project(spark, d):
     old = load(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("price"), "o_orderstatus")
     stored = {1: "o_orderkey", 2: "o_custkey", 4: "price", 5: "o_orderstatus"}
@@ -198,6 +210,9 @@ SQL = {
         SELECT op, xid, user_id, value, event_type FROM ({LOG}) l WHERE xid > 1000 AND xid <= {X} UNION ALL SELECT 'I', 1000, c_custkey, c_acctbal, c_mktsegment FROM customer) u) t WHERE rn = 1 AND op <> 'D'""",
     "catalog_columns_asof": "SELECT db_id, table_id, col_position, history_id FROM (SELECT *, row_number() OVER (PARTITION BY db_id, table_id, col_position ORDER BY xid DESC, lsn DESC, recorded_at DESC) AS rn FROM column_history WHERE xid <= 1400000) t WHERE rn = 1 AND coalesce(col_exists, true)",
     "catalog_tables_asof": "SELECT db_id, tid, schema_name, table_name FROM (SELECT *, row_number() OVER (PARTITION BY db_id, tid ORDER BY xid DESC, lsn DESC) AS rn FROM ddl_log WHERE xid <= 1400000) t WHERE rn = 1 AND op <> 'drop_table'",
+    "catalog_scan_tables": "SELECT DISTINCT db_id, schema_name AS namespace, table_name AS name, tid AS table_id, xid, lsn, op <> 'drop_table' AS exists, parent_table_id, partition_key, partition_bound, rls_enabled FROM ddl_log",
+    "catalog_scan_columns": "SELECT db_id, table_id, col_position AS position, xid, lsn, col_exists AS exists, col_name AS name, type_name AS type, pg_type, is_nullable AS nullable, update_type FROM (SELECT *, row_number() OVER (PARTITION BY db_id, table_id, col_position, xid, lsn ORDER BY recorded_at DESC, history_id DESC) AS rn FROM column_history) t WHERE rn = 1",
+    "catalog_scan_namespaces": "SELECT db_id, schema_name AS name, xid, lsn, true AS exists FROM (SELECT *, row_number() OVER (PARTITION BY db_id, schema_name ORDER BY xid, lsn) AS rn FROM ddl_log) t WHERE rn = 1",
     "schema_evolve_project": "SELECT o_orderkey AS id, o_totalprice AS total_price, o_orderstatus AS status, 'none' AS note FROM orders",
     "partition_union": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 100000",
     "rls_view": "SELECT c_custkey FROM customer WHERE (c_nationkey IN (1, 2, 3) OR c_mktsegment LIKE 'B%') AND c_acctbal >= 0",

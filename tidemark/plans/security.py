@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.hierarchy import hierarchy
 from tidemark.plans.dialect import lex, quote, show, tree
 from tidemark.plans.dialect import expr as rewrite
 
@@ -44,3 +45,15 @@ def secured(df: DataFrame, policies: Sequence[Policy], role: str, groups: Sequen
     if not enabled or bypass or (role == owner and not forced):
         return df
     return df.filter(F.expr(predicate(policies, role, groups)))
+
+
+def policies_of(snapshot: DataFrame) -> list[Policy]:
+    """The policies of one table from the rows of one snapshot: a handful."""
+    return [Policy(r.policy_name, bool(r.policy_permissive), tuple(r.policy_roles or ()), r.policy_qual) for r in snapshot.select("policy_name", "policy_permissive", "policy_roles", "policy_qual").collect()]
+
+
+def groups_of(members: DataFrame, role: int) -> list[int]:
+    """All groups that a role belongs to, through others too; (role_oid, member_oid) of one query node's snapshot.
+    A role on a cycle belongs to the groups of the cycle as PostgreSQL forbids them: none are followed."""
+    up = hierarchy(members.select(F.lit(0).alias("_s"), "member_oid", "role_oid"), ["_s"], "member_oid", "role_oid", every_ancestor=True)
+    return sorted(r.root for r in up.filter((F.col("node") == role) & (F.col("depth") > 0)).select("root").distinct().collect())

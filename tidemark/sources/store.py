@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,9 +77,11 @@ class Store:
         if xid <= self.committed():
             return False
         m = self.manifest()
-        for t, df in changes.items():
-            if t in m["tables"]:
-                m["tables"][t]["logs"].append(self._write(t, "log", df, m["tables"][t]["keys"]))
+        known = [t for t in changes if t in m["tables"]]
+        with ThreadPoolExecutor(max(1, min(8, len(known)))) as pool:  # tables are independent until they are published
+            paths = list(pool.map(lambda t: self._write(t, "log", changes[t], m["tables"][t]["keys"]), known))
+        for t, p in zip(known, paths):
+            m["tables"][t]["logs"].append(p)
         self._publish({**m, "xid": xid})
         return True
 
