@@ -31,7 +31,7 @@ def _dotted() -> Column:
 def records(ddl: DataFrame) -> DataFrame:
     """Each record (tid, xid, lsn) once, as received last. Rows without one of the three are no records."""
     cols = [c for c in ("schema_name", "table_name", "ddl_columns") if c in ddl.columns]
-    got = ddl.dropna(subset=["tid", "xid", "lsn"]).groupBy("db_id", "tid", "xid", "lsn", "op").agg(F.max_by(F.struct(*cols), "received_at").alias("_b"))
+    got = ddl.dropna(subset=["tid", "xid", "lsn"]).groupBy("db_id", "tid", "xid", "lsn", "op").agg(F.max_by(F.struct(*cols), F.struct("received_at")).alias("_b"))
     return got.select("db_id", "tid", "xid", "lsn", "op", "_b.*")
 
 
