@@ -76,3 +76,11 @@ def test_cuts():
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert split(df, "doc_id", "text", MOST, OVER).count() == 0
+
+
+def test_repeated_rows_and_null_ids(spark):
+    t = [(1, TEXTS[2]), (1, TEXTS[2]), (1, TEXTS[9]), (None, TEXTS[1]), (None, TEXTS[7]), (2, TEXTS[7])]
+    df = spark.createDataFrame(t, "doc_id bigint, text string")
+    key = lambda rows: sorted(map(str, rows))
+    a, b = split(df, "doc_id", "text", MOST, OVER, reach=500, halo=100).collect(), split(df, "doc_id", "text", MOST, OVER).collect()
+    assert key(a) == key(b) and sum(r.piece_no == 0 for r in a) == len(t)

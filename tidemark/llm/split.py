@@ -137,7 +137,8 @@ def split(df: DataFrame, id_col: str, text_col: str, most: int, overlap: int, to
 
     A piece has at most `most` tokens and begins with the last `overlap` tokens of the one before (a few more where a
     character would be torn). cut: what the piece's end was cut at (`end` for a text's last piece). A text within the
-    limit is one piece; so are an empty and a null text, of no tokens and with their own text. Ids must be unique.
+    limit is one piece; so are an empty and a null text, of no tokens and with their own text. A row that comes twice is
+    split twice; ids may be null.
     """
     id_type = df.schema[id_col].dataType
     src = df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
@@ -192,9 +193,11 @@ def split(df: DataFrame, id_col: str, text_col: str, most: int, overlap: int, to
 
     # ranges of the long texts, with one character before and a halo behind
     n = F.length("_text")
-    parts = src.filter(big).select(id_col, "_text", n.alias("_n"), F.posexplode(F.sequence(F.lit(0), F.greatest(n - 1 - halo, F.lit(0)), F.lit(reach))).alias("range_no", "_lo"))
-    parts = parts.select(id_col, "range_no", "_lo", (F.col("_lo") + reach + halo >= F.col("_n")).alias("_last"), F.expr(f"substring(_text, greatest(_lo, 1), {reach + halo} + if(_lo > 0, 1, 0))").alias("_text"))
-    table = T.StructType([T.StructField(id_col, id_type), *T.StructType.fromDDL("range_no int, char_start bigint, n_chars bigint, synced boolean, chars binary, kinds binary, core string").fields])
+    # each row has a number, as ids may repeat; the hash finds a row again
+    rows = src.filter(big).select(id_col, "_text", n.alias("_n"), F.monotonically_increasing_id().alias("_row"), F.xxhash64("_text").alias("_hash"))
+    parts = rows.select(id_col, "_text", "_n", "_row", "_hash", F.posexplode(F.sequence(F.lit(0), F.greatest(n - 1 - halo, F.lit(0)), F.lit(reach))).alias("range_no", "_lo"))
+    parts = parts.select(id_col, "_row", "_hash", "range_no", "_lo", (F.col("_lo") + reach + halo >= F.col("_n")).alias("_last"), F.expr(f"substring(_text, greatest(_lo, 1), {reach + halo} + if(_lo > 0, 1, 0))").alias("_text"))
+    table = T.StructType([T.StructField(id_col, id_type), *T.StructType.fromDDL("_row bigint, _hash bigint, range_no int, char_start bigint, n_chars bigint, synced boolean, chars binary, kinds binary, core string").fields])
 
     def one_range(lo: int, text: str, last: bool) -> tuple[int, int, bool]:
         """Where the range's own characters lie in text: from, to, and whether both ends are sure."""
@@ -217,7 +220,7 @@ def split(df: DataFrame, id_col: str, text_col: str, most: int, overlap: int, to
         enc = encoder(tokenizer, folder)
         for b in batches:
             for r in range(b.num_rows):
-                key, no, lo, last, text = b.column(0).slice(r, 1), *[b.column(k)[r].as_py() for k in range(1, 5)]
+                no, lo, last, text = [b.column(k)[r].as_py() for k in range(3, 7)]
                 a, z, sure = one_range(lo, text, last)
                 core = text[a:z].encode()
                 data = np.frombuffer(core, np.uint8)
@@ -234,14 +237,15 @@ def split(df: DataFrame, id_col: str, text_col: str, most: int, overlap: int, to
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 per = np.diff(chars[ends], prepend=0)
                 yield pa.RecordBatch.from_arrays(
-                    [key, pa.array([no], pa.int32()), pa.array([lo - (1 if lo else 0) + a], pa.int64()), pa.array([z - a], pa.int64()), pa.array([sure]), pa.array([per.astype("<u2").tobytes()], pa.binary()), pa.array([kinds.tobytes()], pa.binary()), pa.array([text[a:z]], pa.string())], table.names
+                    [*[b.column(k).slice(r, 1) for k in range(3)], pa.array([no], pa.int32()), pa.array([lo - (1 if lo else 0) + a], pa.int64()), pa.array([z - a], pa.int64()), pa.array([sure]), pa.array([per.astype("<u2").tobytes()], pa.binary()), pa.array([kinds.tobytes()], pa.binary()), pa.array([text[a:z]], pa.string())], table.names
                 )
 
-    tab = materialize(parts.repartition(F.col(id_col), F.col("range_no")).mapInArrow(tables, table))
+    tab = materialize(parts.repartition(F.col("_row"), F.col("range_no")).mapInArrow(tables, table))
     # a run of one class longer than the halo has no sure place to cut: such texts are worked on whole
-    unsure = tab.filter("not synced").select(id_col).distinct()
-    again = src.filter(big).join(unsure, id_col, "left_semi").mapInArrow(whole, out)
-    spans = T.StructType([*out.fields[:-1], *T.StructType.fromDDL("range_no int, _from bigint, _len bigint").fields])
+    unsure = tab.filter("not synced").select(F.col(id_col).alias("_id"), "_row", "_hash").distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_hash"))
+    again = src.filter(big).join(unsure, same, "left_semi").mapInArrow(whole, out)
+    spans = T.StructType([*out.fields[:-1], *T.StructType.fromDDL("_row bigint, range_no int, _from bigint, _len bigint").fields])
 
     def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("range_no")
@@ -256,12 +260,12 @@ def split(df: DataFrame, id_col: str, text_col: str, most: int, overlap: int, to
                 f = max(a, lo[r])
                 if f == min(z, hi[r]):
                     continue
-                rows.append((pdf[id_col].iloc[0], k, a, z, s, e, "end" if e == len(kinds) else KINDS[kd], int(pdf["range_no"].iloc[r]), f - lo[r], min(z, hi[r]) - f))
+                rows.append((pdf[id_col].iloc[0], k, a, z, s, e, "end" if e == len(kinds) else KINDS[kd], int(pdf["_row"].iloc[0]), int(pdf["range_no"].iloc[r]), f - lo[r], min(z, hi[r]) - f))
         return pd.DataFrame(rows, columns=spans.names)
 
-    sure = tab.join(unsure, id_col, "left_anti")
-    span = sure.select(id_col, "range_no", "char_start", "n_chars", "chars", "kinds").groupBy(id_col).applyInPandas(stitch, spans)
-    cut = span.join(sure.select(id_col, "range_no", "core"), [id_col, "range_no"]).withColumn("_t", F.expr("substring(core, cast(_from as int) + 1, cast(_len as int))"))
+    sure = tab.join(unsure.select("_row"), "_row", "left_anti")
+    span = sure.select(id_col, "_row", "range_no", "char_start", "n_chars", "chars", "kinds").groupBy("_row").applyInPandas(stitch, spans)
+    cut = span.join(sure.select("_row", "range_no", "core"), ["_row", "range_no"]).withColumn("_t", F.expr("substring(core, cast(_from as int) + 1, cast(_len as int))"))
     key = names[:-1]
-    large = cut.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range_no", "_t"))), lambda x: x["_t"]), "").alias("piece_text"))
+    large = cut.groupBy("_row", *key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range_no", "_t"))), lambda x: x["_t"]), "").alias("piece_text")).drop("_row")
     return small.unionByName(again).unionByName(large)
