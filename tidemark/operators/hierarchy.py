@@ -81,25 +81,32 @@ def hierarchy(edges: DataFrame, scope: Sequence[str], child: str, parent: str, n
     first = salted_join(links, roots, [*g, "a"], ["n"], "left", rows=rows).select(*g, "n", F.col("a").alias("t"), F.col("_r").isNotNull().alias("done"), F.lit(1).cast("long").alias("d"), seg.alias("p"))
     if every_ancestor:
         first = first.unionByName(first.filter("not done").withColumn("done", F.lit(True)))
-    state, step, before = materialize(first), 1, None
+
+    def shape(st: DataFrame) -> tuple[int, int, DataFrame]:
+        """How many nodes have active pointers; how many, and which, of these are themselves pointed at."""
+        act = st.filter("not done")
+        live = act.select(*g, "n").distinct()
+        core = materialize(act.select(*g, F.col("t").alias("n")).distinct().join(live.hint("merge"), [*g, "n"], "left_semi"))
+        return live.count(), core.count(), core
+
+    state, last, seen, core = materialize(first), None, None, None
     while True:
-        s = state.agg(F.count_if(~F.col("done")).alias("act"), F.count_distinct(F.when(~F.col("done"), F.struct(*g, "n"))).alias("open"), F.count_if(F.col("done")).alias("done")).first()
-        if not s.act:
-            core = None
+        n = {r.done: r["count"] for r in state.groupBy("done").count().collect()}
+        if not n.get(False):
             break
-        if before and (s.open, s.done) == before[:2]:
-            live = state.filter("not done").select(*g, "n").distinct()
-            core = materialize(state.filter("not done").select(*g, F.col("t").alias("n")).distinct().join(live, [*g, "n"], "left_semi"))
-            size = core.count()
-            if size == before[2]:
+        # nothing was resolved: walks that are still open go round in circles if no node has dropped out either
+        if last is not None and last[0] == n.get(True, 0):
+            was, seen = seen or shape(last[1]), shape(state)
+            if was[:2] == seen[:2]:
+                core = seen[2]
                 break
         else:
-            size = -1
-        before = (s.open, s.done, size)
+            seen = None
+        last = (n.get(True, 0), state)
         act = state.filter("not done").select(*g, "n", F.col("t").alias("_via"), F.col("d").alias("_d"), F.col("p").alias("_p"))
         to = state.select(*g, F.col("n").alias("_via"), "t", "done", "d", "p")
         on = [*g, "_via"]
-        joined = salted_join(act, to, on, ["n"], rows=rows) if s.act > rows else act.join(to, on)
+        joined = salted_join(act, to, on, ["n"], rows=rows) if n[False] > rows else act.join(to.hint("merge"), on)
         joined = joined.select(*g, "n", "t", "done", (F.col("d") + F.col("_d")).alias("d"), F.concat("p", "_p").alias("p"))
         both = joined.unionByName(state.filter("done"))
         key = [*g, "n", "t", "done"]
@@ -107,7 +114,7 @@ def hierarchy(edges: DataFrame, scope: Sequence[str], child: str, parent: str, n
             both = both.groupBy(*key).agg(F.min(F.struct("d", "p")).alias("_b")).select(*key, "_b.d", "_b.p")
         else:
             both = both.groupBy(*key).agg(F.min("d").alias("d")).select(*key, "d", F.lit("").alias("p"))
-        state, step = materialize(both), step * 2
+        state = materialize(both)
     done = state.filter("done").select(*g, "n", F.col("t").alias("root"), F.col("d").alias("depth"), F.concat(F.col("t").cast("string"), "p").alias("path"))
     me = ids.filter("root") if not every_ancestor else ids
     own = me.select(*g, "n", F.col("n").alias("root"), F.lit(0).cast("long").alias("depth"), F.col("n").cast("string").alias("path"))
