@@ -193,7 +193,7 @@ SQL = {
     "cdc_latest": _LAST.format(log=LOG, cond="true"),
     "snapshot_asof": _LAST.format(log=LOG, cond=f"xid <= {X}"),
     "cdc_delete": f"SELECT user_id, xid FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY xid DESC) AS rn FROM ({LOG}) l) t WHERE rn = 1 AND op = 'D'",
-    "cdc_truncate": _LAST.format(log=LOG, cond=f"xid > {X}"),
+    "cdc_truncate": _LAST.format(log=LOG, cond=f"xid > coalesce((SELECT max(event_id) FROM events WHERE event_id = {X}), -1)"),
     "cdc_update_partial": f"""WITH l AS ({LOG}), g AS (SELECT user_id, max(xid) FILTER (WHERE op = 'D') AS gone, max(xid) AS last FROM l GROUP BY user_id)
         SELECT g.user_id, (SELECT arg_max(l.value, l.xid) FROM l WHERE l.user_id = g.user_id AND l.xid > coalesce(g.gone, -1) AND NOT (l.op = 'U' AND l.xid % 3 = 0)) AS value,
                (SELECT arg_max(l.event_type, l.xid) FROM l WHERE l.user_id = g.user_id) AS event_type FROM g WHERE coalesce(g.gone, -1) < g.last""",
