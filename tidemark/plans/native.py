@@ -138,12 +138,12 @@ def enum_order(spark, d):
 
 
 def win_groups(spark, d):
-    e = load(spark, d, "lineitem").filter("l_suppkey < 40").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    e = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
     return windows.groups_frame(e, ["l_suppkey"], [F.col("l_quantity").asc_nulls_last()], -2, 1, {"n": F.count(F.lit(1)), "top": F.max("l_orderkey")})
 
 
 def win_exclude(spark, d):
-    e = load(spark, d, "lineitem").filter("l_suppkey < 40").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    e = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
     o = [F.col("l_quantity"), F.col("l_orderkey"), F.col("l_linenumber")]
     a = windows.exclude_frame(e, ["l_suppkey"], o, -2, 2, "current row", "sum", "l_orderkey", "without_row")
     b = windows.exclude_frame(a, ["l_suppkey"], o[:1], -1, 1, "group", "count", "l_orderkey", "without_group")
