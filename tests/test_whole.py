@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidemark.plans import native
+from tidemark.plans import native, relational
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +45,10 @@ def test_win_exclude_whole(spark, lines):
         want.add((*x, sum(near) if near else None, len(others), max([*others, x[0]])))
     got = native.QUERIES["win_exclude"](spark, d).collect()
     assert len(got) == len(rows) and {tuple(x) for x in got} == want
+
+
+def test_win_range_whole(spark, lines):
+    d, rows = lines
+    want = {(*x[:2], sum(y[2] == x[2] and x[3] - 5 <= y[3] <= x[3] for y in rows)) for x in rows}
+    got = relational.QUERIES["win_range"](spark, d).collect()
+    assert len(got) == len(rows) and {tuple(x) for x in got} == want
