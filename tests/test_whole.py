@@ -52,3 +52,18 @@ def test_win_range_whole(spark, lines):
     want = {(*x[:2], sum(y[2] == x[2] and x[3] - 5 <= y[3] <= x[3] for y in rows)) for x in rows}
     got = relational.QUERIES["win_range"](spark, d).collect()
     assert len(got) == len(rows) and {tuple(x) for x in got} == want
+
+
+@pytest.mark.parametrize("name", ["join_full_whole", "join_full_anti_whole"])
+def test_join_full_whole(spark, tmp_path, name):
+    """Whole tables with ids above 500, a hot key, null keys, customers without orders and orders without customers."""
+    r = random.Random(5)
+    cust = [(k, float(r.randrange(-500, 9000))) for k in range(700, 760)] + [(None, 1.0)]
+    orders = [(k, r.choice([705, 705, None, *range(690, 770)]), float(r.randrange(400_000))) for k in range(5000, 5200)]
+    spark.createDataFrame(cust, "c_custkey bigint, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    on = [(c[0], o[0]) for c in cust for o in orders if c[0] is not None and c[0] == o[1] and o[2] > 40 * c[1]]
+    alone = [(c[0], None) for c in cust if c[0] not in {x for x, _ in on}] + [(None, o[0]) for o in orders if o[0] not in {y for _, y in on}]
+    want = alone + (on if name == "join_full_whole" else [])
+    got = [tuple(x) for x in relational.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert on and sorted(got, key=str) == sorted(want, key=str)

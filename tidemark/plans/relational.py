@@ -47,6 +47,8 @@ JOINS: dict[str, object] = {
     "join_right_anti": "SELECT n.n_name FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 9000 WHERE s.s_suppkey IS NULL",
     "join_full": "SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM (SELECT * FROM orders WHERE o_orderkey < 300) a FULL OUTER JOIN (SELECT * FROM orders WHERE o_orderkey BETWEEN 200 AND 500) b ON a.o_orderkey = b.o_orderkey",
     "join_full_anti": "SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM (SELECT * FROM orders WHERE o_orderkey < 300) a FULL JOIN (SELECT * FROM orders WHERE o_orderkey BETWEEN 200 AND 500) b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL",
+    "join_full_whole": "SELECT c.c_custkey, o.o_orderkey FROM customer c FULL OUTER JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 40 * c.c_acctbal",
+    "join_full_anti_whole": "SELECT c.c_custkey, o.o_orderkey FROM customer c FULL OUTER JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 40 * c.c_acctbal WHERE c.c_custkey IS NULL OR o.o_orderkey IS NULL",
     "join_cross": "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n",
     "join_self": "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "join_natural": "SELECT * FROM (SELECT n_nationkey AS k, n_name FROM nation) x NATURAL JOIN (SELECT s_nationkey AS k, s_suppkey FROM supplier) y",
