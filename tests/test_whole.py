@@ -67,3 +67,18 @@ def test_join_full_whole(spark, tmp_path, name):
     want = alone + (on if name == "join_full_whole" else [])
     got = [tuple(x) for x in relational.QUERIES[name](spark, str(tmp_path)).collect()]
     assert on and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_with_ties_whole(spark, tmp_path):
+    """The top quantities and their ties lie behind order 400."""
+    rows = [(1000 + i, i % 3, float(50 if i % 20 == 0 else i % 50)) for i in range(300)] + [(i, 0, 49.0) for i in range(20)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(x) for x in relational.QUERIES["with_ties_whole"](spark, str(tmp_path)).collect()}
+    assert got == {x for x in rows if sum(y[2] > x[2] for y in rows) < 5} and len(got) == 15
+
+
+def test_scan_reverse_whole(spark, tmp_path):
+    keys = random.Random(6).sample(range(5000), 700)
+    spark.createDataFrame([(k, k % 7) for k in keys], "o_orderkey bigint, o_custkey bigint").repartition(5).write.parquet(f"{tmp_path}/orders.parquet")
+    got = relational.QUERIES["scan_reverse_whole"](spark, str(tmp_path)).collect()
+    assert [tuple(x) for x in got] == [(k, k % 7) for k in sorted(keys, reverse=True)]

@@ -20,6 +20,7 @@ SCANS: dict[str, object] = {
     "pk_range": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 1000 AND 1999",
     "commuted_predicate": "SELECT o_orderkey FROM orders WHERE 400000 < o_totalprice AND 'F' = o_orderstatus",
     "scan_reverse": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 50",
+    "scan_reverse_whole": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC",
     "filter_between": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity BETWEEN 10 AND 12 AND l_shipdate >= TIMESTAMP '1998-01-01 00:00:00'",
     "filter_in": "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey NOT IN (1, 2, 3)",
     "filter_null": "SELECT doc_id FROM documents WHERE text IS NULL OR lang IS NULL",
@@ -107,6 +108,7 @@ ORDERS: dict[str, object] = {
     "limit_offset": "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 10 OFFSET 100",
     "fetch_first": "SELECT c_custkey FROM customer ORDER BY c_acctbal, c_custkey FETCH FIRST 7 ROWS ONLY",
     "with_ties": ("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey < 400 ORDER BY l_quantity DESC FETCH FIRST 5 ROWS WITH TIES", "SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, rank() OVER (ORDER BY l_quantity DESC) AS r FROM lineitem WHERE l_orderkey < 400) t WHERE r <= 5"),
+    "with_ties_whole": ("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_quantity DESC FETCH FIRST 5 ROWS WITH TIES", "SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, rank() OVER (ORDER BY l_quantity DESC) AS r FROM lineitem) t WHERE r <= 5"),
     "union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier",
     "intersect": "SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 40 INTERSECT SELECT p_partkey FROM part WHERE p_size < 10",
