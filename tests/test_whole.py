@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidemark.plans import native, relational
+from tidemark.plans import native, pipeline, relational
 
 
 @pytest.fixture(scope="module")
@@ -82,3 +82,39 @@ def test_scan_reverse_whole(spark, tmp_path):
     spark.createDataFrame([(k, k % 7) for k in keys], "o_orderkey bigint, o_custkey bigint").repartition(5).write.parquet(f"{tmp_path}/orders.parquet")
     got = relational.QUERIES["scan_reverse_whole"](spark, str(tmp_path)).collect()
     assert [tuple(x) for x in got] == [(k, k % 7) for k in sorted(keys, reverse=True)]
+
+
+def reach(edges):
+    """(ancestor, node): edges of the shortest way between them, of one at least."""
+    up, out = {}, {}
+    for n, a in edges:
+        up.setdefault(n, set()).add(a)
+    for n in up:
+        front, k = {n}, 0
+        while front:
+            k += 1
+            front = {a for x in front for a in up.get(x, ()) if (a, n) not in out}
+            out.update({(a, n): k for a in front})
+    return out
+
+
+def test_p2_descendants_whole(spark, tmp_path):
+    """All pairs, of nodes on, above and below cycles too: rings, loops, cycles that share nodes, several parents."""
+    r = random.Random(7)
+    drops, want = [], set()
+    for db in range(25):
+        n = r.randint(2, 12)
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(r.randint(1, 2 * n))]
+        if db < 5:  # a ring of up to 21 nodes with chains above and below it
+            m = 5 + 4 * db
+            edges = [(i, (i + 1) % m) for i in range(m)] + [(0, 100), (100, 101), (200, 1), (201, 200)]
+        drops += [(db, "drop_table", c, p) for c, p in edges]
+        pairs = reach(edges)
+        want |= {("table", str(db), a, x, k, (x, x) in pairs) for (a, x), k in pairs.items()}
+    members = [("n1", 2, 3, 1), ("n1", 3, 2, 1), ("n1", 4, 3, 1), ("n1", 9, 8, 0)]
+    spark.createDataFrame(drops + drops[:9], "db_id int, op string, tid bigint, parent_table_id bigint").write.parquet(f"{tmp_path}/ddl_log.parquet")
+    spark.createDataFrame(members, "fdw_id string, member_oid bigint, role_oid bigint, snapshot_time int").write.parquet(f"{tmp_path}/role_member_snapshot_history.parquet")
+    pairs = reach([(2, 3), (3, 2), (4, 3)])
+    want |= {("role", "n1", a, x, k, (x, x) in pairs) for (a, x), k in pairs.items()}
+    got = [tuple(x) for x in pipeline.QUERIES["p2_descendants"](spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want)

@@ -59,13 +59,15 @@ def cyclic_nodes(edges: DataFrame, core: DataFrame, g: Sequence[str]) -> DataFra
     return found.distinct()
 
 
-def hierarchy(edges: DataFrame, scope: Sequence[str], child: str, parent: str, nodes: DataFrame | None = None, node: str = "node", paths: bool = False, every_ancestor: bool = False, rows: int = ROWS) -> DataFrame:
+def hierarchy(edges: DataFrame, scope: Sequence[str], child: str, parent: str, nodes: DataFrame | None = None, node: str = "node", paths: bool = False, every_ancestor: bool = False, through_cycles: bool = False, rows: int = ROWS) -> DataFrame:
     """(scope, node, root, depth[, path]) of each node.
 
     A root has itself with depth 0. A node on a cycle has the one row (null, -1). Any other node has one row for each
     root it can be reached from, with the edges of the shortest way; if there is none, the one row (null, -2). path:
     the nodes from root to node on the (least) shortest way. every_ancestor: a row for each ancestor in place of each
-    root, which is the list of all descendants read the other way round; nodes on cycles have none but their own.
+    root, which is the list of all descendants read the other way round; nodes on cycles have none but
+    their own, unless through_cycles: then they have, besides that row as their mark, a row for each ancestor as all
+    others do, and as their own ancestors two: with depth 0, and with the edges of the shortest way round.
     Links with a null end are no links, but their other end is a node; repeated links count once; rows with a null
     scope are ignored. No edges and nodes: no rows. `nodes` (scope, node) adds nodes without links.
     """
@@ -126,7 +128,10 @@ def hierarchy(edges: DataFrame, scope: Sequence[str], child: str, parent: str, n
         live = state.filter("not done").select(*g, "n").distinct()
         off = live.join(cyc, [*g, "n"], "left_anti")
         lost = off.join(done.select(*g, "n").distinct(), [*g, "n"], "left_anti")
-        out = done.join(cyc, [*g, "n"], "left_anti").unionByName(own if not every_ancestor else own.join(cyc, [*g, "n"], "left_anti"))
+        if every_ancestor and through_cycles:  # no new pair came in the last round, so all pairs are resolved
+            out = done.unionByName(own)
+        else:
+            out = done.join(cyc, [*g, "n"], "left_anti").unionByName(own if not every_ancestor else own.join(cyc, [*g, "n"], "left_anti"))
         out = out.unionByName(cyc.select(*g, "n", none.alias("root"), F.lit(-1).cast("long").alias("depth"), F.lit(None).cast("string").alias("path")))
         if not every_ancestor:
             out = out.unionByName(lost.select(*g, "n", none.alias("root"), F.lit(-2).cast("long").alias("depth"), F.lit(None).cast("string").alias("path")))

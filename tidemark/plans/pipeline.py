@@ -43,9 +43,12 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """All descendants of each node, with the edges between; nodes on cycles are left out as descendants."""
-    h = hierarchy(_links(spark, d), ["tree", "scope_key"], "child", "parent", node="descendant_id", every_ancestor=True)
-    return h.filter("depth > 0").select("tree", "scope_key", F.col("root").alias("node_id"), "descendant_id", F.col("depth").alias("distance"))
+    """All descendants of each node, with the edges of the shortest way. A node on a cycle is a descendant of itself and
+    of all others on it; on_cycle says whether the descendant lies on a cycle."""
+    h = hierarchy(_links(spark, d), ["tree", "scope_key"], "child", "parent", node="descendant_id", every_ancestor=True, through_cycles=True)
+    key = ["tree", "scope_key", "descendant_id"]
+    marked = h.filter("depth > 0").join(h.filter("depth = -1").select(*key, F.lit(True).alias("on_cycle")), key, "left")
+    return marked.select("tree", "scope_key", F.col("root").alias("node_id"), "descendant_id", F.col("depth").alias("distance"), F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
