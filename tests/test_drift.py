@@ -86,3 +86,15 @@ def test_rivals(spark):
     two = [{"id": i, "b": str(i) if i < 7 else "-", "y": str(i)} for i in range(10)]
     got = {(x.change_kind, x.old_name, x.new_name) for x in drift.changes(*frames(spark, ddl, [("p", "t", 2, one), ("p", "t", 6, two)])).collect()}
     assert got == {("renamed", "a", "y"), ("added", "", "b"), ("removed", "x", "")}
+
+
+def test_renames_of_few_values(spark):
+    """Three keys of which two agree, all values in one bucket, where the old file's third value has the least hash."""
+    rows = spark.sql(f"select k, v, h from (select k, v, xxhash64(k, 0, v) as h from (select cast(x as string) as k, cast(id as string) as v from range(6000) lateral view explode(array(1, 2, 3)) e as x)) where pmod(h, {drift.BUCKETS}) = 0").collect()
+    by = {k: sorted((x.h, x.v) for x in rows if x.k == k) for k in "123"}
+    (h3, o3), n3 = by["3"][0], "other"
+    a, b = (next(v for h, v in by[k] if h > h3) for k in "12")
+    ddl = [(10, 1, "create_table", 7, "public", "t", [c("id", 23), c("old")]), (20, 1, "create_table", 7, "public", "t", [c("id", 23), c("new")])]
+    dump = [("public", "t", x, [{"id": i, n: v} for i, v in enumerate(vs, 1)]) for x, n, vs in ((12, "old", (a, b, o3)), (22, "new", (a, b, n3)))]
+    got = {(x.tid, x.xid, x.change_kind, x.old_name, x.new_name) for x in drift.changes(*frames(spark, ddl, dump)).collect()}
+    assert got == {(7, 20, "renamed", "old", "new")}

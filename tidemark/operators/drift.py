@@ -2,10 +2,11 @@
 
 Between consecutive versions the columns that went and those that came are profiled over the keys that both files
 hold: a value sketch (the least hash of key and value in each of BUCKETS buckets), type and name. Pairs whose sketches
-share a bucket's minimum are candidates; a candidate counts as a rename if an exact count over all keys says that more
+share a bucket's minimum are candidates, and so are all pairs of columns with at most FEW values each, for which
+sketches are unsure; a candidate counts as a rename if an exact count over all keys says that more
 than half of the values agree. If candidates compete, a bipartite matching of greatest weight decides. A rename needs
 agreement of more than half, hence a Jaccard similarity above 1/3 of the sets of (key, value): the chance that two
-sketches of 256 minima miss it is below 1e-9.
+sketches of 256 minima miss it is below 1e-9 where a column has more than FEW values, and nil where none has.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from tidemark.operators.skew import neighbours, salted_join
 from tidemark.session import materialize
 
 BUCKETS = 256
+FEW = 256
 
 
 def _dotted() -> Column:
@@ -130,7 +132,11 @@ def renames(vers: DataFrame, dump: DataFrame, files: DataFrame) -> DataFrame:
     long = long.filter("v is not null").select(*pair, "side", "i", F.xxhash64("k", F.lit(0), "v").alias("h"))
     sk = long.groupBy(*pair, "side", "i", F.pmod("h", F.lit(BUCKETS)).alias("b")).agg(F.min("h").alias("h"))
     s0, s1 = sk.filter("side = 0").select(*pair, "b", "h", F.col("i").alias("i")), sk.filter("side = 1").select(*pair, "b", "h", F.col("i").alias("j"))
-    cand = s0.join(s1, [*pair, "b", "h"]).select(*pair, F.struct("i", "j").alias("ij")).groupBy(*pair).agg(F.collect_set("ij").alias("cand"))
+    # a rename of columns with few values may share no minimum: of these, all pairs
+    few = long.groupBy(*pair, "side", "i").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= FEW)
+    few = few.groupBy(*pair).agg(F.expr("collect_list(i) filter (where side = 0)").alias("i"), F.expr("collect_list(i) filter (where side = 1)").alias("j"))
+    few = few.select(*pair, F.explode(F.expr("flatten(transform(i, x -> transform(j, y -> struct(x as i, y as j))))")).alias("ij"))
+    cand = s0.join(s1, [*pair, "b", "h"]).select(*pair, F.struct("i", "j").alias("ij")).unionByName(few).groupBy(*pair).agg(F.collect_set("ij").alias("cand"))
     # the exact count, for the candidates only; their number is bounded by the columns of one version squared
     e = salted_join(rows, cand, pair, ["k"]).select(*pair, F.explode(F.expr("transform(cand, c -> struct(c.i as i, c.j as j, o[c.i] as a, n[c.j] as b))")).alias("e"))
     e = e.groupBy(*pair, "e.i", "e.j").agg(F.count_if(F.expr("e.a is not null or e.b is not null")).alias("n"), F.count_if(F.expr("e.a = e.b")).alias("eq"))
