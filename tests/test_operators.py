@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import catalog, skew, windows
+from tidemark.operators import asof, catalog, skew, windows
 from tidemark.operators.asof import asof_known
 from tidemark.operators.hierarchy import hierarchy
 from tidemark.operators.orphans import event_orphans, snapshot_orphans
@@ -65,6 +65,52 @@ def test_salted_join(spark):
     assert sorted(a.collect()) == sorted(big.join(small, "k").collect())
 
 
+@pytest.mark.parametrize("listed", [1 << 16, 100])
+def test_many_hot_keys(spark, monkeypatch, listed):
+    """5,000 hot keys and one that holds a third: the same rows however many keys are listed, and balanced tasks."""
+    monkeypatch.setattr(skew, "KEYS", listed)
+    big = spark.range(75_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 5000).alias("k"), "id")
+    small = big.select("k").distinct().withColumn("j", F.col("k") * 2)
+    got = skew.salted_join(big, small, ["k"], ["id"], rows=5)
+    assert got.agg(F.count("*"), F.sum("id"), F.sum("j")).first() == big.join(small, "k").agg(F.count("*"), F.sum("id"), F.sum("j")).first()
+    hot = skew.hot_keys(big, ["k"], 5)
+    assert hot.count() == min(listed, 5001) and hot.filter("k = -1").first()["_parts"] == 5000
+    parts = hot.withColumn("each", F.col("_n") / F.col("_parts"))
+    assert parts.agg(F.max("each")).first()[0] <= 6
+    ev = spark.range(20_000).select((F.col("id") % 500).alias("k"), F.col("id").alias("i"), (F.col("id") * 7 % 9973).alias("at"), F.col("id").alias("seen"))
+    ver = spark.range(20_000).select((F.col("id") % 500).alias("k"), (F.col("id") * 5 % 9973).alias("xid"), (F.col("id") * 3 % 20_000).alias("seen"))
+    run = lambda rows: sorted((r.i, r.match.xid if r.match else -1) for r in asof_known(ev, ver, ["k"], ["i"], "at", "seen", ["xid"], "seen", [], rows).collect())
+    assert run(10) == run(10**6)
+
+
+def test_merger_streams(monkeypatch):
+    """Batches of any size give what one batch gives, and events are not held."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    n = 4000
+    g, pos, ev = np.sort(r.integers(0, 3, n)), r.integers(0, 900, n), (r.random(n) < 0.7).astype(np.int32)
+    o = np.lexsort((ev, pos, g))
+    g, pos, ev = g[o], pos[o], ev[o]
+    t = pa.table({"k": g, "_event": ev, "_known": r.integers(0, 1000, n), "_left": np.where(ev == 1, np.arange(n), -1), "_right": np.where(ev == 0, np.arange(n), -1)})
+    out = lambda size: pa.Table.from_batches(asof._merger(["k"])(iter(t.to_batches(max_chunksize=size)))).to_pydict()
+    want = out(n)
+    monkeypatch.setattr(asof, "STEP", 1)
+    assert out(7) == want and out(333) == want and len(want["_left"]) == int(ev.sum())
+
+
+def test_hot_snapshots(spark, monkeypatch):
+    """Where the snapshots are too many to be sent, they are joined with salts."""
+    d = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "h").otherwise(F.concat(F.lit("s"), F.col("id") % 40)).alias("s"), F.timestamp_seconds(F.col("id") % 7).alias("t"), (F.col("id") % 90).alias("k"), (F.col("id") % 11).alias("v"), F.timestamp_seconds("id").alias("g"))
+    run = lambda: sorted(map(tuple, snapshot_changes(d, "s", "k", "t", "g", [F.col("v")], rows=20).collect()))
+    c, p = d.select(F.col("s").alias("scope"), F.col("k").alias("record_id"), F.col("v").alias("ref_id"), F.col("t").alias("at")), d.select(F.col("s").alias("scope"), F.col("k").alias("key"), F.col("t").alias("at"))
+    orph = lambda: sorted(map(tuple, snapshot_orphans(c, p, rows=20).collect()))
+    a, b = run(), orph()
+    monkeypatch.setattr(skew, "SENT", 3)
+    assert a and b and run() == a and orph() == b
+
+
 def brute_tree(edges, nodes):
     up = {}
     for n, a in edges:

@@ -5,7 +5,8 @@ by the event's `known`; the last of them by order is taken. Hot keys are cut int
 the last version before it as carry-in, so that shards are merged independently; an event for which the carry-in was
 not known yet is also sent to the last earlier shard that holds a version known by then, where its answer must lie, so
 nothing is lost by the cuts. Each shard is merged in one sorted pass over Arrow batches: versions hidden from an event
-are skipped by links to the nearest earlier version known before them.
+are skipped by links to the nearest earlier version known before them. Events are not held beyond their batch, nor are
+versions that a later one hides for good.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 
 from tidemark.operators.skew import ROWS, shard_bounds, with_shard
 
+STEP = 1 << 15
+
 
 def _long(col: pa.ChunkedArray) -> np.ndarray:
     return col.cast(pa.int64()).to_numpy()
@@ -70,24 +73,35 @@ def _merge(t: pa.Table, group: list[str]) -> Iterator[pa.RecordBatch]:
     yield from res.to_batches(max_chunksize=20_000)
 
 
+def _carried(t: pa.Table, group: list[str]) -> pa.Table:
+    """What of t may still answer events of its last group: versions that no later one, known as early, hides."""
+    same = None
+    for g in group:
+        eq = pc.equal(t.column(g), t.column(g)[t.num_rows - 1])
+        same = eq if same is None else pc.and_(same, eq)
+    mine = t.slice(pc.index(same, pa.scalar(True)).as_py())
+    mine = mine.filter(pc.equal(mine.column("_event"), 0))
+    known = _long(mine.column("_known"))
+    later = np.minimum.accumulate(known[::-1])[::-1]
+    return mine.filter(pa.array(known < np.append(later[1:], np.iinfo(np.int64).max)))
+
+
 def _merger(group: list[str]):
+    """Merges sorted batches as they come: events leave at once, versions stay while they may be needed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        n = carried = 0
         for b in batches:
             if not b.num_rows:
                 continue
             held.append(b)
-            t = pa.Table.from_batches(held)
-            last = [t.column(g)[t.num_rows - 1] for g in group]
-            cut = t.num_rows
-            same = None
-            for g, x in zip(group, last):
-                eq = pc.equal(t.column(g), x)
-                same = eq if same is None else pc.and_(same, eq)
-            cut = pc.index(same, pa.scalar(True)).as_py()
-            if cut > 0:
-                yield from _merge(t.slice(0, cut), group)
-                held = t.slice(cut).to_batches()
+            n += b.num_rows
+            if n >= max(STEP, carried):  # so that what is carried is read again a bounded number of times for each row
+                t = pa.Table.from_batches(held)
+                yield from _merge(t, group)
+                keep = _carried(t, group)
+                held, carried, n = keep.to_batches(), keep.num_rows, 0
         if held:
             yield from _merge(pa.Table.from_batches(held), group)
 

@@ -2,7 +2,8 @@
 
 Parent keys and child references are brought into one long form (referred table, scope, key, position) with a tag,
 grouped with partial aggregation, and groups without a parent's tag are kept; what the key's other groups say tells
-whether it was deleted, comes later or is missing. Only then are the records looked up again.
+whether it was deleted, comes later or is missing. Only then are the records looked up again, by a join in which keys
+with many references are salted: how many each has is known from its group.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import salted_join
+from tidemark.operators.skew import ROWS, hot_keys, lookup_join, salted_join, sized
+from tidemark.session import materialize
 
 
-def snapshot_orphans(child: DataFrame, parent: DataFrame) -> DataFrame:
+def snapshot_orphans(child: DataFrame, parent: DataFrame, rows: int = ROWS) -> DataFrame:
     """child (scope, record_id, ref_id, at) refers to parent (scope, key, at), given as full snapshots per scope.
 
     Returns the child rows, distinct, whose ref_id the last snapshot of the parent at or before `at` lacks, with
@@ -23,11 +25,11 @@ def snapshot_orphans(child: DataFrame, parent: DataFrame) -> DataFrame:
     """
     c = child.select("scope", "record_id", "ref_id", "at").dropna(subset=["scope", "ref_id", "at"]).distinct()
     p = parent.select("scope", "key", "at").dropna()
-    times = p.select("scope", "at", F.lit(1).alias("_p")).distinct().unionByName(c.select("scope", "at", F.lit(0).alias("_p")).distinct())
+    times = p.select("scope", "at", F.lit(1).alias("_p")).distinct().unionByName(child.select("scope", "at").dropna().distinct().withColumn("_p", F.lit(0)))
     w = W.partitionBy("scope").orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
-    times = times.groupBy("scope", "at").agg(F.max("_p").alias("_p")).withColumn("ord", F.sum("_p").over(w)).select("scope", "at", "ord")
-    c = c.join(times, ["scope", "at"])
-    p = p.join(times, ["scope", "at"])
+    times = sized(times.groupBy("scope", "at").agg(F.max("_p").alias("_p")).withColumn("ord", F.sum("_p").over(w)).select("scope", "at", "ord"))
+    c = materialize(lookup_join(c, times, ["scope", "at"], ["record_id", "ref_id"], rows))
+    p = lookup_join(p, times, ["scope", "at"], ["key"], rows)
     tagged = c.select("scope", F.col("ref_id").alias("key"), "ord", F.lit(0).alias("_p"), F.lit(1).alias("_c")).unionByName(p.select("scope", "key", "ord", F.lit(1).alias("_p"), F.lit(0).alias("_c")))
     groups = tagged.groupBy("scope", "key", "ord").agg(F.max("_p").alias("_p"), F.sum("_c").alias("_c"))
     # a key has at most one group for each snapshot of its scope
@@ -35,11 +37,12 @@ def snapshot_orphans(child: DataFrame, parent: DataFrame) -> DataFrame:
     had = F.max("_p").over(wk.rowsBetween(W.unboundedPreceding, W.currentRow))
     has = F.max("_p").over(W.partitionBy("scope", "key"))
     status = F.when(had == 1, "deleted").when(has == 1, "later").otherwise("missing")
-    bad = groups.select("*", status.alias("ref_status")).filter("_p = 0 and _c > 0").select("scope", F.col("key").alias("ref_id"), "ord", "ref_status")
-    return salted_join(c, bad, ["scope", "ref_id", "ord"], ["record_id", "at"]).select("scope", "record_id", "ref_id", "at", "ref_status")
+    bad = materialize(groups.select("*", status.alias("ref_status")).filter("_p = 0 and _c > 0").select("scope", F.col("key").alias("ref_id"), "ord", "ref_status", "_c"))
+    on = ["scope", "ref_id", "ord"]
+    return salted_join(c, bad.drop("_c"), on, ["record_id", "at"], rows=rows, hot=hot_keys(bad, on, rows, "_c")).select("scope", "record_id", "ref_id", "at", "ref_status")
 
 
-def event_orphans(child: DataFrame, events: DataFrame) -> DataFrame:
+def event_orphans(child: DataFrame, events: DataFrame, rows: int = ROWS) -> DataFrame:
     """child (scope, record_id, ref_id, xid, lsn, at) refers to keys that events (scope, key, kind create | drop, xid,
     lsn) bring and take away.
 
@@ -53,7 +56,8 @@ def event_orphans(child: DataFrame, events: DataFrame) -> DataFrame:
         events.select("scope", "key", F.lit(0).alias("_c"), "kind", "xid", "lsn").dropna(subset=["scope", "key"])
     )
     groups = tagged.groupBy("scope", "key").agg(F.sum("_c").alias("_c"), F.min(F.when(F.col("kind") == "create", pos)).alias("_made"), F.min(F.when(F.col("kind") == "drop", pos)).alias("_gone"))
-    bad = groups.filter("_c > 0").select("scope", F.col("key").alias("ref_id"), "_made", "_gone")
-    got = salted_join(c, bad, ["scope", "ref_id"], ["record_id"])
+    bad = materialize(groups.filter("_c > 0").select("scope", F.col("key").alias("ref_id"), "_made", "_gone", "_c"))
+    on = ["scope", "ref_id"]
+    got = salted_join(c, bad.drop("_c"), on, ["record_id"], rows=rows, hot=hot_keys(bad, on, rows, "_c"))
     status = F.when(F.col("_made").isNull(), "missing").when(F.col("_made") > pos, "later").when(F.col("_gone") < pos, "deleted")
     return got.select("scope", "record_id", "ref_id", "at", status.alias("ref_status")).filter("ref_status is not null")

@@ -1,8 +1,10 @@
 """Hot keys: finding them, sharding them by order, salting joins on them.
 
-A key counts as hot if it holds more than `rows` rows. Only the MOST largest keys are looked at: a key beyond these
-holds less than 1/MOST of all rows, so it cannot be a straggler. All hot keys together get at most TOTAL shards (and
-one each), so that what is collected or broadcast here is bounded whatever the size of the data.
+A key counts as hot if it holds more than `rows` rows. The KEYS largest hot keys are listed: a key beyond them holds
+less than 1/KEYS of all rows, no more than an ordinary task of a job over so much data, and is worked on as other keys
+are. All hot keys together get about TOTAL parts (and one each), so a part holds `rows` rows, or 1/TOTAL of the hot
+rows if that is more. What is collected or broadcast here is thus bounded whatever the size of the data: KEYS rows of a
+key and a number, TOTAL bounds. Results never depend on which keys are listed.
 """
 
 from __future__ import annotations
@@ -12,37 +14,56 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MOST = 1024
-TOTAL = 1 << 16
-SALTS = 1024
+from tidemark.session import materialize
+
+KEYS = 1 << 16
+TOTAL = 1 << 17
 ROWS = 50_000
+#: Rows up to which a narrow table is sent to all tasks.
+SENT = 1 << 17
 _STEP = 128
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = ROWS) -> DataFrame | None:
-    """The hot keys with their counts (_n), at most MOST rows, or None if there are none."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
-    top = counts.orderBy(F.desc("_n")).limit(MOST).collect()
-    return df.sparkSession.createDataFrame(top, counts.schema) if top else None
+def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = ROWS, n: str | None = None) -> DataFrame | None:
+    """The hot keys with their counts (_n) and the number of parts that each is to have (_parts), at most KEYS rows, or
+    None if there are none. n: a column of df that holds the count, if df has one row for each key."""
+    counts = df.select(*keys, F.col(n).alias("_n")) if n else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.filter(F.col("_n") > rows)
+    top = counts.orderBy(F.desc("_n")).limit(KEYS).collect()
+    if not top:
+        return None
+    each = max(rows, sum(r["_n"] for r in top) // TOTAL)
+    return df.sparkSession.createDataFrame([(*r, -(-r["_n"] // each)) for r in top], T.StructType([*counts.schema.fields, T.StructField("_parts", T.LongType())]))
+
+
+def sized(df: DataFrame) -> tuple[DataFrame, bool]:
+    """df as a table of its own, and whether it has at most SENT rows, so that it may be sent to all tasks."""
+    df = materialize(df)
+    return df, df.limit(SENT + 1).count() <= SENT
+
+
+def lookup_join(big: DataFrame, small: tuple[DataFrame, bool], on: Sequence[str], salt_on: Sequence[str], rows: int = ROWS) -> DataFrame:
+    """Equi-join with a sized() table of few and narrow rows a key: it is sent to the tasks if it is small, else hot keys
+    of big are salted."""
+    return big.join(F.broadcast(small[0]), list(on)) if small[1] else salted_join(big, small[0], on, salt_on, rows=rows)
 
 
 def shard_bounds(df: DataFrame, keys: Sequence[str], at: str, rows: int = ROWS) -> DataFrame | None:
-    """For each hot key the values of `at` that part it into shards of about `rows` rows (_bounds), or of more, where
-    that would make more than TOTAL shards."""
+    """For each hot key the values of `at` that part it into its shards (_bounds)."""
     hot = hot_keys(df, keys, rows)
     if hot is None:
         return None
-    sizes = hot.agg(F.sum("_n"), F.max("_n")).first()
-    each = max(rows, sizes[0] // TOTAL)
+    most = hot.agg(F.max("_parts")).first()[0]
     grid = 64
-    while grid < sizes[1] / each and grid < TOTAL // 4:
+    while grid < most and grid < TOTAL // 2:
         grid *= 2
     got = (
         df.join(F.broadcast(hot), list(keys))
         .groupBy(*keys)
-        .agg(F.first("_n").alias("_n"), F.percentile_approx(at, [i / grid for i in range(1, grid)], 16 * grid).alias("_q"))
-        .withColumn("_step", F.greatest(F.lit(1), F.expr(f"cast({grid} * {each}L / _n as int)")))
+        .agg(F.first("_parts").alias("_parts"), F.percentile_approx(at, [i / grid for i in range(1, grid)], 16 * grid).alias("_q"))
+        .withColumn("_step", F.greatest(F.lit(1), F.expr(f"cast({grid} / _parts as int)")))
         .select(*keys, F.expr("array_distinct(filter(_q, (v, i) -> (i + 1) % _step = 0))").alias("_bounds"))
         # the last bound of each _STEP, so that a bound is found in two short scans
         .withColumn("_coarse", F.expr(f"transform(filter(sequence(0, size(_bounds) div {_STEP}), k -> k > 0), k -> _bounds[k * {_STEP} - 1])"))
@@ -66,13 +87,15 @@ def with_shard(df: DataFrame, keys: Sequence[str], at: str | Column, bounds: Dat
     )
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], salt_on: Sequence[str], how: str = "inner", rows: int = ROWS) -> DataFrame:
-    """Equi-join in which a hot key of `big` is spread over a task for each `rows` rows (SALTS at most), and its rows of
-    `small` are repeated for each; other keys are joined as usual. The salt is a hash of salt_on, so that a task that runs again deals its rows alike."""
-    hot = hot_keys(big, on, rows)
+def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], salt_on: Sequence[str], how: str = "inner", rows: int = ROWS, hot: DataFrame | None | bool = False) -> DataFrame:
+    """Equi-join in which a hot key of `big` is spread over a task for each of its parts, and its rows of `small` are
+    repeated for each; other keys are joined as usual. The salt is a hash of salt_on, so that a task that runs again
+    deals its rows alike. hot: the hot_keys() of big, where they are known already."""
+    if hot is False:
+        hot = hot_keys(big, on, rows)
     if hot is None:
         return big.join(small, list(on), how)
-    marks = F.broadcast(hot.select(*on, F.least(F.lit(SALTS), F.ceil(F.col("_n") / rows)).cast("int").alias("_hot")))
+    marks = F.broadcast(hot.select(*on, F.col("_parts").cast("int").alias("_hot")))
     b = big.join(marks, list(on), "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*salt_on), F.col("_hot")).cast("int"), F.lit(0))).drop("_hot")
     s = small.join(marks, list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_hot"), F.lit(1)) - 1))).drop("_hot")
     return b.join(s, [*on, "_salt"], how).drop("_salt")
