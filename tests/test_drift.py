@@ -61,6 +61,28 @@ def test_unified(spark):
     assert len(rows) == 3 + 1 + 3 + 2
 
 
+def test_undeclared(spark):
+    """A field that no declaration names stays beside the column that ends under its name."""
+    ddl = [(1, 1, "create_table", 7, "p", "t", [c("id", 23), c("a")]), (5, 1, "create_table", 7, "p", "t", [c("id", 23), c("b")])]
+    dump = [("p", "t", 2, [{"id": i, "a": str(i), "b": "other", "z": "free"} for i in range(4)]), ("p", "t", 6, [{"id": i, "b": str(i)} for i in range(4)])]
+    got = {(x.file_xid, x.row_key): x.columns for x in drift.unified(*frames(spark, ddl, dump)).collect()}
+    assert got[2, "3"] == {"id": "3", "b": "3", "b@undeclared": "other", "z": "free"} and got[6, "3"] == {"id": "3", "b": "3"}
+
+
+def test_small_renames_are_not_missed(spark):
+    """Files of 2 to 7 keys of which just more than half agree."""
+    import random
+
+    r, ddl, dump, want = random.Random(9), [], [], set()
+    for tid in range(1500):
+        n = r.randint(2, 7)
+        same = r.randint(n // 2 + 1, n)
+        ddl += [(10 * tid, 1, "create_table", tid, "p", f"t{tid}", [c("id", 23), c("old")]), (10 * tid + 5, 1, "create_table", tid, "p", f"t{tid}", [c("id", 23), c("new")])]
+        dump += [("p", f"t{tid}", 10 * tid + 1, [{"id": i, "old": f"{tid}-{i}"} for i in range(n)]), ("p", f"t{tid}", 10 * tid + 6, [{"id": i, "new": f"{tid}-{i}" if i < same else "else"} for i in range(n)])]
+        want.add((tid, "renamed", "old", "new"))
+    assert {(x.tid, x.change_kind, x.old_name, x.new_name) for x in drift.changes(*frames(spark, ddl, dump)).collect()} == want
+
+
 def test_empty(spark):
     d, f, k = frames(spark, DDLS, DUMPS)
     assert drift.changes(d.limit(0), f, k).count() == 0 and drift.unified(d, f.limit(0), k).count() == 0

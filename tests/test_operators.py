@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, catalog, skew, windows
+from tidemark.operators import asof, catalog, forest, skew, windows
 from tidemark.operators.asof import asof_known
 from tidemark.operators.hierarchy import hierarchy
 from tidemark.operators.orphans import event_orphans, snapshot_orphans
@@ -152,9 +152,14 @@ def test_hierarchy_against_brute_force(spark):
         all_edges += [(f"s{s}", a, b, "x") for a, b in edges]
         want |= {(f"s{s}", *x) for x in brute_tree(edges, [])}
     df = spark.createDataFrame(all_edges, "scope string, c int, p int, node string")
-    assert {tuple(x) for x in hierarchy(df, ["scope"], "c", "p", rows=5).collect()} == want
+    got = hierarchy(df, ["scope"], "c", "p").collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
+    for some, rows in ((["s3", "s15", "s16", "s24", "s31", "s37"], 50_000), (["s4", "s17", "s30"], 9)):  # by joins; salted, and both ways
+        got = hierarchy(df.filter(F.col("scope").isin(some)), ["scope"], "c", "p", rows=rows, local=0 if rows > 9 else 12).collect()
+        assert {tuple(x) for x in got} == {x for x in want if x[0] in some}
     paths = hierarchy(df, ["scope"], "c", "p", paths=True).filter("depth >= 0").collect()
     have = {(s, a, b) for s, a, b, _ in all_edges}
+    assert {(x.scope, x.node, x.root, x.depth) for x in paths} == {x for x in want if x[3] >= 0}
     for x in paths:
         p = [int(y) for y in x.path.split("/")]
         assert p[0] == x.root and p[-1] == x.node and len(p) == x.depth + 1
@@ -163,6 +168,51 @@ def test_hierarchy_against_brute_force(spark):
     assert {x.node for x in every if x.depth == 0} == {y for e in all_edges if e[0] == "s3" for y in e[1:3] if y is not None}
 
 
+def test_forest_against_brute_force():
+    """The solver of whole scopes: any graph, rings with ways in and out, blocks in which cycles share nodes."""
+    import numpy as np
+
+    r = random.Random(1)
+    for i in range(1500):
+        n = r.randint(1, 14)
+        edges = {(r.randrange(n), r.randrange(n)) for _ in range(r.randint(0, int((0.5 + 2 * r.random()) * n)))}
+        if i % 3 == 0:
+            edges = {(k, (k + 1) % n) for k in range(n)} | {(r.randrange(n), r.randrange(n)) for _ in range(r.randint(0, 3))}
+        e = np.array(sorted(edges), np.int64).reshape(-1, 2)
+        got = {(a, None if b < 0 else b, d) for a, b, d in zip(*(v.tolist() for v in forest.roots(e[:, 0], e[:, 1], n)))}
+        assert got == brute_tree(sorted(edges), range(n)), sorted(edges)
+
+
+def test_forest_stays_linear():
+    """A block of 3,000 nodes and 24,000 links on cycles beside a chain of 200,000 in the same scope."""
+    import numpy as np
+
+    k = np.arange(1, 200_000)
+    b = np.unique(np.random.default_rng(0).integers(0, 3000, (24_000, 2)), axis=0) + 200_000
+    x, t, d = forest.roots(np.r_[k, b[:, 0]], np.r_[k - 1, b[:, 1]], 203_000)
+    assert len(x) == 203_000 and d.max() == 199_999 and (d[x >= 200_000] < 0).all()
+
+
+def test_block_beside_a_chain(spark, monkeypatch):
+    """By joins: a cyclic block's pointers are not multiplied while a chain of the same scope resolves."""
+    from tidemark.operators import hierarchy as h
+
+    r = random.Random(2)
+    block = {(1000 + r.randrange(300), 1000 + r.randrange(300)) for _ in range(2400)}
+    df = spark.createDataFrame([("s", i, i - 1) for i in range(1, 200)] + [("s", *e) for e in block], "scope string, c int, p int")
+    most, was = [0], h.materialize
+
+    def counted(x):
+        y = was(x)
+        most[0] = max(most[0], y.count())
+        return y
+
+    monkeypatch.setattr(h, "materialize", counted)
+    got = h.hierarchy(df, ["scope"], "c", "p", local=0).collect()
+    assert {(x.node, x.depth) for x in got if x.node < 1000} == {(i, i) for i in range(200)} and all(x.depth < 0 for x in got if x.node >= 1000)
+    assert most[0] <= 4 * (200 + 2400)
+
+
 def test_hierarchy_edges(spark):
     e = spark.createDataFrame([], "s string, c int, p int")
     assert hierarchy(e, ["s"], "c", "p").count() == 0

@@ -4,9 +4,10 @@ Between consecutive versions the columns that went and those that came are profi
 hold: a value sketch (the least hash of key and value in each of BUCKETS buckets), type and name. Pairs whose sketches
 share a bucket's minimum are candidates, and so are all pairs of columns with at most FEW values each, for which
 sketches are unsure; a candidate counts as a rename if an exact count over all keys says that more
-than half of the values agree. If candidates compete, a bipartite matching of greatest weight decides. A rename needs
-agreement of more than half, hence a Jaccard similarity above 1/3 of the sets of (key, value): the chance that two
-sketches of 256 minima miss it is below 1e-9 where a column has more than FEW values, and nil where none has.
+than half of the values agree. If candidates compete, a bipartite matching of greatest weight decides. No rename of two
+columns of at most FEW values is missed. Else more than FEW / 2 keys agree, which is more than a third of all (key,
+value): the two sketches miss it only if none of the minima of their union, of which over 100 buckets have one, is
+shared, a chance below (2/3)^100 or 1e-17.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_known
 from tidemark.operators.hierarchy import hierarchy
-from tidemark.operators.skew import neighbours, salted_join
+from tidemark.operators.skew import hot_keys, neighbours, salted_join
 from tidemark.session import materialize
 
 BUCKETS = 256
 FEW = 256
+HEAD = ["db_id", "schema_name", "table_name", "xid"]
 
 
 def _dotted() -> Column:
@@ -62,16 +64,21 @@ def versions(rec: DataFrame, types: DataFrame) -> DataFrame:
     return neighbours(v, ["tid"], ["xid", "lsn"], lag={"p": whole})
 
 
-def file_versions(dump: DataFrame, timeline: DataFrame) -> DataFrame:
-    """(db_id, schema_name, table_name, xid, tid, v_xid, v_lsn) of each file: the table that held its name at the end
-    of its xid, and the declaration then in force. Files of no table are left out."""
-    head = ["db_id", "schema_name", "table_name", "xid"]
-    files = dump.select(*head).dropna().distinct().withColumn("_known", F.lit(0))
+def heads(dump: DataFrame) -> DataFrame:
+    """(db_id, schema_name, table_name, xid, _c) of each file: what it says of itself, and the number of its lines."""
+    return materialize(dump.select(*HEAD).dropna().groupBy(*HEAD).agg(F.count(F.lit(1)).alias("_c")))
+
+
+def file_versions(files: DataFrame, timeline: DataFrame) -> DataFrame:
+    """(db_id, schema_name, table_name, xid, tid, v_xid, v_lsn) of each of the heads: the table that held the file's name
+    at the end of its xid, and the declaration then in force. Files of no table are left out."""
+    head = HEAD
+    files = files.select(*head, F.lit(0).alias("_known"))
     held = timeline.withColumn("_known", F.lit(0))
     m = asof_known(files, held, head[:3], head, "xid", "_known", ["xid", "lsn"], "_known", ["tid", "op", "next_xid", "ver"])
     # a name that its table had given up by then belongs to nobody
     m = m.filter("match is not null and match.op <> 'drop_table' and match.ver is not null and (match.next_xid is null or match.next_xid > xid)")
-    return m.select(*head, F.col("match.tid").alias("tid"), F.col("match.ver.xid").alias("v_xid"), F.col("match.ver.lsn").alias("v_lsn"))
+    return materialize(m.select(*head, F.col("match.tid").alias("tid"), F.col("match.ver.xid").alias("v_xid"), F.col("match.ver.lsn").alias("v_lsn")))
 
 
 def _best(w: np.ndarray) -> list[tuple[int, int]]:
@@ -110,8 +117,8 @@ def _match(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[[(x, y) in kept for x, y in zip(a.cat.codes, b.cat.codes)]]
 
 
-def renames(vers: DataFrame, dump: DataFrame, files: DataFrame) -> DataFrame:
-    """(tid, xid, lsn, old_name, new_name) of each declaration with one before."""
+def renames(vers: DataFrame, dump: DataFrame, files: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """(tid, xid, lsn, old_name, new_name) of each declaration with one before. hot: the files of many lines."""
     pair = ["tid", "xid", "lsn"]
     gone = F.expr("array_except(map_keys(p.cols), map_keys(cols))")
     came = F.expr("array_except(map_keys(cols), map_keys(p.cols))")
@@ -119,9 +126,9 @@ def renames(vers: DataFrame, dump: DataFrame, files: DataFrame) -> DataFrame:
     sides = open_.select(*pair, F.col("p.xid").alias("v_xid"), F.col("p.lsn").alias("v_lsn"), F.lit(0).alias("side"), F.col("p.key").alias("key"), F.col("gone").alias("names")).unionByName(
         open_.select(*pair, F.col("xid").alias("v_xid"), F.col("lsn").alias("v_lsn"), F.lit(1).alias("side"), "key", F.col("came").alias("names"))
     )
-    head = ["db_id", "schema_name", "table_name", "f_xid"]
+    head = [*HEAD[:3], "f_xid"]
     f = files.withColumnRenamed("xid", "f_xid").join(sides, ["tid", "v_xid", "v_lsn"]).drop("v_xid", "v_lsn")
-    lines = salted_join(dump.select(*head[:3], F.col("xid").alias("f_xid"), "line_no", "payload"), f, head, ["line_no", "payload"])
+    lines = salted_join(dump.select(*head[:3], F.col("xid").alias("f_xid"), "line_no", "payload"), f, head, ["line_no", "payload"], hot=hot and hot.withColumnRenamed("xid", "f_xid"))
     m = F.from_json("payload", "map<string,string>")
     rows = lines.withColumn("_m", m).select(*pair, "side", F.expr("_m[key]").alias("k"), F.expr("transform(names, n -> _m[n])").alias("v")).filter("k is not null")
     # both files' rows of a key meet in one group; doubled lines are alike
@@ -166,7 +173,8 @@ def changes(ddl: DataFrame, dump: DataFrame, types: DataFrame) -> DataFrame:
     rec = materialize(records(ddl))
     tl = materialize(name_timeline(rec))
     vers = materialize(versions(rec, types))
-    ren = renames(vers, dump, file_versions(dump, tl))
+    files = heads(dump)
+    ren = renames(vers, dump, file_versions(files, tl), hot_keys(files, HEAD, n="_c"))
     one = lambda arr, kind, old, new: F.expr(f"transform({arr}, x -> struct('{kind}' as change_kind, {old} as old_name, {new} as new_name))")
     m = _moves(vers, ren).withColumn("gone", F.expr("array_except(map_keys(p.cols), map_keys(cols))")).withColumn("came", F.expr("array_except(map_keys(cols), map_keys(p.cols))"))
     m = m.withColumn("same", F.expr("concat(transform(array_intersect(map_keys(p.cols), map_keys(cols)), x -> struct(x as key, x as value)), map_entries(ren))"))
@@ -189,7 +197,9 @@ def unified(ddl: DataFrame, dump: DataFrame, types: DataFrame) -> DataFrame:
     object, and files of no table, are left out."""
     rec = materialize(records(ddl))
     vers = materialize(versions(rec, types))
-    ren = renames(vers, dump, file_versions(dump, (tl := materialize(name_timeline(rec)))))
+    files = heads(dump)
+    held, hot = file_versions(files, materialize(name_timeline(rec))), hot_keys(files, HEAD, n="_c")
+    ren = renames(vers, dump, held, hot)
     node = lambda n, x, l: F.concat_ws("@", n, x, l)
     m = _moves(vers, ren).withColumn("same", F.expr("concat(transform(array_intersect(map_keys(p.cols), map_keys(cols)), x -> struct(x as key, x as value)), map_entries(ren))"))
     links = m.select("tid", "xid", "lsn", "p", F.explode("same").alias("c")).select("tid", node(F.col("c.key"), F.col("p.xid"), F.col("p.lsn")).alias("child"), node(F.col("c.value"), F.col("xid"), F.col("lsn")).alias("parent"))
@@ -200,10 +210,9 @@ def unified(ddl: DataFrame, dump: DataFrame, types: DataFrame) -> DataFrame:
     ends = ends.select("tid", "node", F.when(F.col("end") == F.col("last"), F.col("end_name")).otherwise(F.concat_ws("@", "end_name", F.col("end.xid"))).alias("to"))
     per = every.join(ends, ["tid", "node"]).groupBy("tid", "xid", "lsn").agg(F.map_from_entries(F.collect_list(F.struct("name", "to"))).alias("names"))
     per = per.join(vers.select("tid", "xid", "lsn", "key"), ["tid", "xid", "lsn"]).withColumnsRenamed({"xid": "v_xid", "lsn": "v_lsn"})
-    head = ["db_id", "schema_name", "table_name", "xid"]
-    f = file_versions(dump, tl).join(per, ["tid", "v_xid", "v_lsn"])
-    lines = salted_join(dump.select(*head, "line_no", "payload"), f, head, ["line_no", "payload"]).withColumn("_m", F.from_json("payload", "map<string,string>")).filter("_m is not null")
-    out = lines.select("tid", F.col("xid").alias("file_xid"), "v_xid", "v_lsn", F.expr("_m[key]").alias("row_key"), F.expr("array_sort(transform(filter(map_entries(_m), e -> e.value is not null), e -> struct(coalesce(names[e.key], e.key) as key, e.value as value)))").alias("columns"))
+    f = held.join(per, ["tid", "v_xid", "v_lsn"])
+    lines = salted_join(dump.select(*HEAD, "line_no", "payload"), f, HEAD, ["line_no", "payload"], hot=hot).withColumn("_m", F.from_json("payload", "map<string,string>")).filter("_m is not null")
+    out = lines.select("tid", F.col("xid").alias("file_xid"), "v_xid", "v_lsn", F.expr("_m[key]").alias("row_key"), F.expr("array_sort(transform(filter(map_entries(_m), e -> e.value is not null), e -> struct(coalesce(names[e.key], if(array_contains(map_values(names), e.key), concat(e.key, '@undeclared'), e.key)) as key, e.value as value)))").alias("columns"))
     # a field that a line states twice counts once
     once = F.expr("filter(columns, (e, i) -> not exists(slice(columns, 1, i), y -> y.key = e.key))")
     return out.distinct().withColumn("columns", F.map_from_entries(once))

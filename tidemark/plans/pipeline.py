@@ -18,8 +18,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_table(spark: SparkSession, d: str) -> DataFrame:
-    """The lines of table_dump as one table per tid, under its columns' last names."""
-    return drift.unified(load(spark, d, "ddl_log"), load(spark, d, "table_dump"), load(spark, d, "type_catalog"))
+    """The lines of table_dump as one table per tid, under its columns' last names: as one JSON object in their order."""
+    got = drift.unified(load(spark, d, "ddl_log"), load(spark, d, "table_dump"), load(spark, d, "type_catalog"))
+    return got.withColumn("columns", F.to_json("columns"))
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:

@@ -156,4 +156,52 @@ UNION ALL SELECT tid, xid, lsn, CASE op WHEN 'rename_table' THEN 'table_renamed'
   WHERE op IN ('rename_table', 'set_namespace') AND prev_name <> name
 """
 
-SQL = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p5_found": P5}
+_P2_HEAD = P2[: P2.index("best AS (")]
+P2_PATHS = _P2_HEAD + """
+way AS (
+  SELECT w.tree, w.scope_key, w.n, w.a AS root, w.depth, list_reverse(w.seen) AS nodes
+  FROM walk w JOIN roots r ON r.tree = w.tree AND r.scope_key = w.scope_key AND r.n = w.a
+  WHERE NOT EXISTS (SELECT 1 FROM cyc c WHERE c.tree = w.tree AND c.scope_key = w.scope_key AND c.n = w.n)
+  UNION ALL SELECT tree, scope_key, n, n, 0, [n] FROM roots)
+SELECT tree, scope_key, n AS node_id, root AS root_id, depth AS node_depth, array_to_string(nodes, '/') AS node_path
+FROM (SELECT *, row_number() OVER (PARTITION BY tree, scope_key, n, root ORDER BY depth, nodes) AS rn FROM way) x WHERE rn = 1
+"""
+P2_DESCENDANTS = _P2_HEAD.rstrip().rstrip(",") + """
+SELECT w.tree, w.scope_key, w.a AS node_id, w.n AS descendant_id, CAST(min(w.depth) AS INTEGER) AS distance, bool_or(c.n IS NOT NULL) AS on_cycle
+FROM walk w LEFT JOIN cyc c ON c.tree = w.tree AND c.scope_key = w.scope_key AND c.n = w.n GROUP BY 1, 2, 3, 4
+"""
+
+# the references themselves, not their months
+_EACH = (
+    P5.replace("strftime(c.snapshot_time, '%Y-%m') AS ref_month,", "c.snapshot_time AS at, 0 AS xid, 0 AS lsn, strftime(c.snapshot_time, '%Y-%m') AS ref_month,")
+    .replace("strftime(l.committed_at, '%Y-%m') AS ref_month,", "l.committed_at AS at, l.xid, l.lsn, strftime(l.committed_at, '%Y-%m') AS ref_month,")
+)
+_I = _EACH.index("SELECT DISTINCT 'policy_snapshot_history'")
+P5_REPORT = f"{_EACH[:_I]}, refs AS ({_EACH[_I:]}) SELECT source_table, ref_month, ref_status, count(*) AS n_refs FROM refs GROUP BY 1, 2, 3"
+
+_P1_I = P1.index("SELECT tid, xid, lsn, 'renamed'")
+P1_TABLE = "WITH RECURSIVE" + P1[:_P1_I].strip()[len("WITH"):] + """,
+nextv AS (SELECT tid, xid, lsn, lead(xid) OVER w AS n_xid, lead(lsn) OVER w AS n_lsn FROM rec WHERE op = 'create_table' WINDOW w AS (PARTITION BY tid ORDER BY xid, lsn)),
+walk AS (
+  SELECT tid, xid, lsn, name, xid AS at_xid, lsn AS at_lsn, name AS at_name FROM col
+  UNION ALL
+  SELECT w.tid, w.xid, w.lsn, w.name, v.n_xid, v.n_lsn, s.new_name FROM walk w
+  JOIN nextv v ON v.tid = w.tid AND v.xid = w.at_xid AND v.lsn = w.at_lsn
+  JOIN same s ON s.tid = w.tid AND s.xid = v.n_xid AND s.lsn = v.n_lsn AND s.old_name = w.at_name),
+stop AS (SELECT *, row_number() OVER (PARTITION BY tid, xid, lsn, name ORDER BY at_xid DESC, at_lsn DESC) AS rn FROM walk),
+named AS (SELECT s.tid, s.xid, s.lsn, s.name, CASE WHEN v.n_xid IS NULL THEN s.at_name ELSE s.at_name || '@' || s.at_xid END AS final
+  FROM stop s JOIN nextv v ON v.tid = s.tid AND v.xid = s.at_xid AND v.lsn = s.at_lsn WHERE s.rn = 1),
+raw AS (SELECT DISTINCT f.tid, f.f_xid, f.v_xid, f.v_lsn, f.key, t.payload FROM table_dump t
+  JOIN file f ON f.db_id = t.db_id AND f.schema_name = t.schema_name AND f.table_name = t.table_name AND f.f_xid = t.xid WHERE json_valid(t.payload) AND json_type(t.payload) = 'OBJECT'),
+line_ AS (SELECT *, row_number() OVER () AS line_id FROM raw),
+field AS (SELECT line_id, tid, v_xid, v_lsn, unnest(json_keys(payload)) AS name FROM line_),
+cell AS (SELECT f.line_id, CASE WHEN n.final IS NOT NULL THEN n.final
+      WHEN EXISTS (SELECT 1 FROM named o WHERE o.tid = f.tid AND o.xid = f.v_xid AND o.lsn = f.v_lsn AND o.final = f.name) THEN f.name || '@undeclared' ELSE f.name END AS k,
+    json_extract_string(l.payload, '$."' || f.name || '"') AS v
+  FROM field f JOIN line_ l ON l.line_id = f.line_id LEFT JOIN named n ON n.tid = f.tid AND n.xid = f.v_xid AND n.lsn = f.v_lsn AND n.name = f.name)
+SELECT DISTINCT l.tid, l.f_xid AS file_xid, l.v_xid, l.v_lsn, json_extract_string(l.payload, '$."' || l.key || '"') AS row_key,
+  coalesce((SELECT '{' || string_agg(CAST(to_json(k) AS VARCHAR) || ':' || CAST(to_json(v) AS VARCHAR), ',' ORDER BY k) || '}' FROM cell c WHERE c.line_id = l.line_id AND c.v IS NOT NULL), '{}') AS columns
+FROM line_ l
+"""
+
+SQL = {"p1_found": P1, "p1_table": P1_TABLE, "p2_found": P2, "p2_paths": P2_PATHS, "p2_descendants": P2_DESCENDANTS, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p5_report": P5_REPORT}
