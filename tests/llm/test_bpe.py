@@ -76,3 +76,19 @@ def test_encode_frame(spark):
     n = {r.doc_id: r.n_tokens for r in token_counts(df, ["doc_id"], "text", "byte_bpe_50k").collect()}
     assert n == {k: len(v) for k, v in got.items()}
     assert encode(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_long_pre_tokens(monkeypatch):
+    """Pre-tokens as long as texts, merged part by part, give what merging them at once gives."""
+    import random
+
+    from tidemark.llm import bpe
+
+    r = random.Random(3)
+    whole = bpe.ByteBPE(f"{bpe.TOKENIZERS}/byte_bpe_50k.tiktoken")
+    monkeypatch.setattr(bpe, "PART", 600)
+    for t in ("a" * 9000, "中" * 3000, "abc" * 3000, "".join(r.choices("qzxjkwvaeio", k=9000)), "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(3000)), "é" * 5000, "=-" * 4000):
+        monkeypatch.setattr(bpe, "LONG", 1 << 30)
+        want = whole.merge(t.encode())
+        monkeypatch.setattr(bpe, "LONG", 1000)
+        assert whole.merge(t.encode()) == want, t[:9]

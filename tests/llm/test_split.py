@@ -68,11 +68,55 @@ def test_cuts():
     import numpy as np
 
     assert cuts(np.array(k, np.uint8), 20, 4)[:2] == [(0, 10, CUE), (6, 19, SENTENCE)]
-    with pytest.raises(ValueError):
-        cuts(np.array(k, np.uint8), 10, 5)
     assert KINDS[CUE] == "cue"
 
 
+def runs():
+    r = random.Random(5)
+    return {
+        1: "a" * 150_000, 2: "中" * 50_000, 3: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(60_000)), 4: "".join(r.choices("ABCDefghij0123456789+/", k=120_000)),
+        5: "=" * 99_991, 6: "x " + " \n" * 40_000 + "y" * 9000, 7: "abc" * 30_000, 8: "²5" * 40_000, 9: "".join(r.choices("qzxjkwv", k=120_000)), 10: "'" * 70_000 + "s" * 70_000, 11: "ab'" * 40_000, 12: "word" + "é" * 80_000,
+    }
+
+
+def test_endless_runs(spark):
+    """Endless lines of one class go through ranges, and come out as if worked on whole."""
+    df = spark.createDataFrame(list(runs().items()), "doc_id bigint, text string")
+    key = lambda rows: sorted(map(tuple, rows), key=lambda x: (x[0], x[1]))
+    a = split(df, "doc_id", "text", MOST, OVER, reach=5000, halo=500).collect()
+    assert key(a) == key(split(df, "doc_id", "text", MOST, OVER, reach=1 << 30).collect())
+    for k, t in runs().items():
+        assert "".join(r.piece_text for r in key_of(a, k)) and key_of(a, k)[-1].char_end == len(t)
+
+
+def key_of(rows, k):
+    return sorted((r for r in rows if r.doc_id == k), key=lambda r: r.piece_no)
+
+
+def test_ranges_of_runs():
+    """All but runs of white space are cut into ranges of about the nominal size, whose tokens are those of the whole."""
+    import numpy as np
+
+    from tidemark.llm.split import SOFT, next_cut
+
+    for k, t in runs().items():
+        data = np.frombuffer(t.encode(), np.uint8)
+        lo, left, ids, most = 0, 0, [], 0
+        while lo < len(data):
+            hi, right = next_cut(ENC, data, lo, lo + 5000, len(data), 500, left) if lo + 5000 < len(data) else (len(data), 0)
+            part = ENC.encode(data[lo:hi].tobytes().decode())
+            assert left != SOFT or ENC.fit(ids[-1], part[0])
+            ids += part
+            most, lo, left = max(most, hi - lo), hi, right
+        assert ids == ENC.encode(t), k
+        assert most < 7000 or k == 6
+
+
+def test_limits(spark):
+    with pytest.raises(ValueError):
+        split(spark.createDataFrame([], "doc_id bigint, text string"), "doc_id", "text", 10, 5)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert split(df, "doc_id", "text", MOST, OVER).count() == 0

@@ -3,7 +3,8 @@
 A batch's texts are cut into pre-tokens with array operations over code points. Each pre-token is looked up in a memo:
 an open-addressing table whose keys are the pre-token's own bytes (up to 15 of them packed in two words, so a hit is
 exact), or a dictionary for longer ones. Only a pre-token that the memo lacks is merged: a priority queue of merge
-ranks over a doubly linked list of symbols, in which entries that no longer fit are skipped.
+ranks over a doubly linked list of symbols, in which entries that no longer fit are skipped. A pre-token as long as a
+text (an endless run of one class) is merged part by part; the parts are right if their ends fit, which is checked.
 """
 
 from __future__ import annotations
@@ -23,6 +24,11 @@ TOKENIZERS = "/opt/tokenizers"
 BLOCK = 1 << 20
 STEP = 1 << 16
 MEMO = 1 << 20
+#: Pre-tokens beyond LONG bytes are merged in parts of about PART bytes; where a part may not end at a hard place, it ends
+#: a multiple of UNIT bytes from the pre-token's begin, which suits tokens of one sign repeated 2^k or 3 times 2^k times.
+LONG = 1 << 15
+PART = 1 << 12
+UNIT = 384
 LETTER, NUMBER, SPACE, BLANK, OTHER = range(5)
 # The code points with Unicode's White_Space property, as ranges.
 WHITE = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
@@ -99,6 +105,13 @@ class ByteBPE:
         self.width = np.zeros(max(self.vocab) + 1, np.int32)
         for i, t in self.vocab.items():
             self.width[i] = len(t)
+        # which two bytes stand side by side within a token: no merge ever crosses between two others
+        self.joins = np.zeros((256, 256), bool)
+        flat = np.frombuffer(b"".join(self.vocab.values()), np.uint8)
+        inner = np.ones(len(flat), bool)
+        inner[np.cumsum([len(t) for t in self.vocab.values()]) - 1] = False
+        at = np.flatnonzero(inner)
+        self.joins[flat[at], flat[at + 1]] = True
         self._clear(1 << 16)
 
     # memo
@@ -145,9 +158,14 @@ class ByteBPE:
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
-        ranks, n = self.ranks, len(piece)
-        if (whole := ranks.get(piece)) is not None:  # also where merges alone would not lead to it
+        if (whole := self.ranks.get(piece)) is not None:  # also where merges alone would not lead to it
             return [whole]
+        if len(piece) > LONG and (got := self._in_parts(piece)) is not None:
+            return got
+        return self._at_once(piece)
+
+    def _at_once(self, piece: bytes) -> list[int]:
+        ranks, n = self.ranks, len(piece)
         nxt, prv, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
@@ -170,6 +188,29 @@ class ByteBPE:
             i = nxt[i]
         return out
 
+    def fit(self, a: int, b: int) -> bool:
+        """Whether two tokens may stand side by side within a pre-token. A list of tokens is the encoding of its bytes if
+        and only if all neighbours may."""
+        return self.merge(self.vocab[a] + self.vocab[b]) == [a, b]
+
+    def _in_parts(self, piece: bytes) -> list[int] | None:
+        """The ids of a long pre-token from those of its parts, or None if two parts' ends do not fit."""
+        data = np.frombuffer(piece, np.uint8)
+        hard = np.flatnonzero(~self.joins[data[:-1], data[1:]]) + 1
+        out: list[int] = []
+        lo = 0
+        while lo < len(piece):
+            k = np.searchsorted(hard, lo + PART)
+            hi = int(hard[k]) if k < len(hard) else len(piece)
+            if hi - lo > 2 * PART:
+                hi = lo + PART + -(lo + PART) % UNIT
+            ids = self._at_once(piece[lo:hi])
+            if out and not self.fit(out[-1], ids[0]):
+                return None
+            out += ids
+            lo = hi
+        return out
+
     def _entries(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The memo's entry of each pre-token. data: with 16 bytes to spare at its end."""
         word = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))

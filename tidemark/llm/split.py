@@ -1,25 +1,27 @@
 """Splitting oversized texts at natural boundaries.
 
-A text is worked on in ranges: each begins and ends where a pre-token begins whatever stands before, found within a
-halo beyond its nominal ends, so that the ranges' tokens are those of the whole. A range yields its boundary table: of
-each token its characters and the kind of boundary after it. The tables of one text are stitched in order, sums of
-lengths give positions, cuts are chosen, and pieces are emitted by offset from the ranges they touch; only there the
-characters are read again. A text of one range needs no stitching and leaves its task as pieces.
+A long text's bytes are cut into ranges in one pass: a range ends, within a halo behind its nominal end, where a
+pre-token begins whatever stands before. Within an endless run of one class there is no such place; there a range ends
+between two bytes that no token holds side by side, so that no merge crosses, or, where there are none either (one sign
+without end), at a place that is checked afterwards: the two tokens that meet must be what the encoder makes of both
+together. So the ranges' tokens are those of the whole. A range yields its boundary table: of each token its characters
+and the kind of boundary after it. The tables of one text are stitched in order as they stream by, sums of lengths give
+positions, cuts are chosen, and pieces are emitted by offset from the ranges they touch; only there the characters are
+read again. What is held of a text is a window of some pieces. A text of one range needs no stitching and leaves its
+task as pieces.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.bpe import TOKENIZERS, ByteBPE, classes, encoder, raw, slices
+from tidemark.llm.bpe import BLANK, LETTER, SPACE, TOKENIZERS, UNIT, ByteBPE, classes, encoder, raw, slices
 from tidemark.session import materialize
 
 RANGE = 1 << 16
@@ -32,7 +34,8 @@ ENDS = ".!?…։؟۔।॥。．！？｡"
 FULL = "。．！？｡।॥"
 CLOSE = "\"'”’»)]}›」』）"
 LINES = [0x0A, 0x0B, 0x0C, 0x85, 0x2028, 0x2029]
-_CUT = re.compile(r"(?<=\n)(?=[!-~])|(?<=[!-~])(?= [!-~])|(?<=[^\W\d_])(?=[0-9,.;:!?。，！？、；：])|(?<=[0-9])(?=[A-Za-z,.;:!?])")
+#: How sure it is that a range's end is an end of a token.
+SURE, HARD, SOFT = range(3)
 
 
 def _among(values: list[int]) -> np.ndarray:
@@ -108,27 +111,123 @@ def boundaries(enc: ByteBPE, data: np.ndarray, off: np.ndarray) -> Iterator[tupl
             yield int(text[a]), lo + b0 - int(off[text[a]]), ends[t0:t1] - b0, kinds
 
 
+def one_cut(kind: np.ndarray, base: int, s: int, done: int, most: int, overlap: int) -> tuple[int, int, int]:
+    """(end, its kind, begin of the next) of the piece that begins at token s, where more than `most` tokens are left.
+    kind: of the boundary after each token from number base on; done: the end of the piece before."""
+    lo = max(done, s + overlap)  # the end lies in (lo, s + most]
+    w = kind[lo - base : s + most - base]
+    best = w.max()
+    e = lo + len(w) - int(np.argmax(w[::-1] == best))
+    nxt = e - overlap
+    while nxt > 0 and kind[nxt - 1 - base] == PART:
+        nxt -= 1
+    return e, int(best), nxt
+
+
 def cuts(kind: np.ndarray, most: int, overlap: int) -> list[tuple[int, int, int]]:
     """(first token, end, kind of the boundary at the end) of each piece. kind: of the boundary after each token.
 
     A piece ends at the last boundary of the best kind within reach. The next one begins `overlap` tokens before that
     end, or up to three more where that would be within a character."""
-    if most < overlap + 8 or overlap < 0:
-        raise ValueError("a piece must hold more than its overlap and a character")
     out, s, done, n = [], 0, 0, len(kind)
     while n - s > most:
-        lo = max(done, s + overlap)  # the end lies in (lo, s + most]
-        w = kind[lo : s + most]
-        best = w.max()
-        e = lo + len(w) - int(np.argmax(w[::-1] == best))
-        out.append((s, e, int(best)))
-        done, s = e, e - overlap
-        while s > 0 and kind[s - 1] == PART:
-            s -= 1
+        e, best, nxt = one_cut(kind, 0, s, done, most, overlap)
+        out.append((s, e, best))
+        done, s = e, nxt
     out.append((s, n, CUE))
     return out
 
 
+def next_cut(enc: ByteBPE, data: np.ndarray, lo: int, at: int, end: int, halo: int, left: int) -> tuple[int, int]:
+    """Where a range from lo may end, from `at` on, and how sure that is. White space is never cut through: the search
+    goes on behind it. left: how sure lo was."""
+    view = max(halo, 2 * UNIT)
+    while at < end:
+        a, z = max(lo, at - 8), min(end, at + view + 16)
+        while a > lo and (data[a] & 0xC0) == 0x80:
+            a -= 1
+        while z < end and (data[z] & 0xC0) == 0x80:
+            z += 1
+        cp = np.frombuffer(data[a:z].tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        place = a + np.concatenate([[0], np.cumsum(1 + (cp > 0x7F).astype(np.int64) + (cp > 0x7FF) + (cp > 0xFFFF))])
+        c = classes()[cp]
+        if len(c) < 4:
+            return end, SURE
+        # of characters 1 to n - 3: the class before, here, and of the two behind
+        p, h, n1, n2, where = c[:-3], c[1:-2], c[2:-1], c[3:], place[1 : len(c) - 2]
+        dark = lambda v: (v != SPACE) & (v != BLANK)
+        ok = dark(p) & dark(h) & (p != h) & (cp[:-3] != 39)  # another class begins, but not behind an apostrophe
+        ok |= dark(p) & (h == BLANK) & dark(n1)
+        ok |= (p == SPACE) & dark(h)
+        ok &= where >= at
+        if ok.any():
+            return int(where[np.argmax(ok)]), SURE
+        run = dark(h) & (p == h) & (h == n1) & (h == n2) & (where >= at)
+        hard = run & ~enc.joins[data[where - 1], data[where]]
+        if hard.any():
+            return int(where[np.argmax(hard)]), HARD
+        if run.any():
+            own = np.frombuffer(data[lo:z].tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+            kind = classes()[own]
+            new = np.r_[True, kind[1:] != kind[:-1]]
+            begin = lo + np.concatenate([[0], np.cumsum(1 + (own > 0x7F).astype(np.int64) + (own > 0x7FF) + (own > 0xFFFF))])[:-1][new]
+            soft = run & ((where - begin[np.searchsorted(begin, where, "right") - 1]) % UNIT == 0)
+            if soft.any():
+                return int(where[np.argmax(soft)]), SOFT
+        at += view
+    return end, SURE
+
+
+class Stitcher:
+    """The boundary tables of one text, fed in order: keeps the tokens from the last piece's begin on."""
+
+    def __init__(self, enc: ByteBPE, row: int, most: int, overlap: int) -> None:
+        self.enc, self.row, self.most, self.overlap = enc, row, most, overlap
+        self.kinds, self.edge = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.base = self.s = self.done = self.k = 0  # base: the number of the first token that is kept
+        self.spans: list[tuple[int, int, int]] = []
+        self.last_id, self.torn = -1, False
+
+    def _piece(self, s: int, e: int, cut: str) -> Iterator[tuple]:
+        a, z = int(self.edge[s - self.base]), int(self.edge[e - self.base])
+        for no, lo, hi in self.spans:
+            f, t = max(a, lo), min(z, hi)
+            if f < t:
+                yield self.k, a, z, s, e, cut, no, f - lo, t - f
+        self.k += 1
+
+    def feed(self, r: dict) -> Iterator[tuple]:
+        """(piece_no, char_start, char_end, token_start, token_end, cut, range_no, from, length) for each range that a
+        piece touches; piece_no -1 if the ranges do not fit together."""
+        if self.torn:
+            return
+        if r["left_end"] == SOFT and not self.enc.fit(self.last_id, r["first_id"]):
+            self.torn = True
+            yield -1, 0, 0, 0, 0, "", 0, 0, 0
+            return
+        self.last_id = r["last_id"]
+        self.kinds = np.concatenate([self.kinds, np.frombuffer(r["kinds"], np.uint8)])
+        self.edge = np.concatenate([self.edge, self.edge[-1] + np.cumsum(np.frombuffer(r["chars"], "<u2").astype(np.int64))])
+        self.spans.append((r["range_no"], r["char_start"], r["char_start"] + r["n_chars"]))
+        n = self.base + len(self.kinds)
+        while n - self.s > self.most:
+            e, kind, s = one_cut(self.kinds, self.base, self.s, self.done, self.most, self.overlap)
+            yield from self._piece(self.s, e, KINDS[kind])
+            self.done, self.s = e, s
+        if r["last"]:
+            yield from self._piece(self.s, n, "end")
+            return
+        drop = max(self.s - 4 - self.base, 0)
+        self.kinds, self.edge, self.base = self.kinds[drop:], self.edge[drop:], self.base + drop
+        self.spans = [x for x in self.spans if x[2] > self.edge[0]]
+
+
+def _arrow(kind: T.DataType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
+
+
 PIECE = "piece_no int, char_start bigint, char_end bigint, token_start bigint, token_end bigint, cut string"
 
 
@@ -140,6 +239,8 @@ def split(df: DataFrame, id_col: str, text_col: str, most: int, overlap: int, to
     limit is one piece; so are an empty and a null text, of no tokens and with their own text. A row that comes twice is
     split twice; ids may be null.
     """
+    if most < overlap + 8 or overlap < 0:
+        raise ValueError("a piece must hold more than its overlap and a character")
     id_type = df.schema[id_col].dataType
     src = df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
     out = T.StructType([T.StructField(id_col, id_type), *T.StructType.fromDDL(PIECE).fields, T.StructField("piece_text", T.StringType())])
@@ -188,84 +289,91 @@ def split(df: DataFrame, id_col: str, text_col: str, most: int, overlap: int, to
                         [keys.slice(i, j - i).take(pa.array(c[0], pa.int64())), pa.array(c[1], pa.int32()), *[pa.array(np.array(v, np.int64)) for v in c[2:6]], pa.array(c[6], pa.string()), pa.array(c[7], pa.binary()).cast(pa.string())], names
                     )
 
-    big = F.length("_text") > reach
+    big = F.octet_length("_text") > reach
     small = src.filter(~F.coalesce(big, F.lit(False))).mapInArrow(whole, out)
 
-    # ranges of the long texts, with one character before and a halo behind
-    n = F.length("_text")
     # each row has a number, as ids may repeat; the hash finds a row again
-    rows = src.filter(big).select(id_col, "_text", n.alias("_n"), F.monotonically_increasing_id().alias("_row"), F.xxhash64("_text").alias("_hash"))
-    parts = rows.select(id_col, "_text", "_n", "_row", "_hash", F.posexplode(F.sequence(F.lit(0), F.greatest(n - 1 - halo, F.lit(0)), F.lit(reach))).alias("range_no", "_lo"))
-    parts = parts.select(id_col, "_row", "_hash", "range_no", "_lo", (F.col("_lo") + reach + halo >= F.col("_n")).alias("_last"), F.expr(f"substring(_text, greatest(_lo, 1), {reach + halo} + if(_lo > 0, 1, 0))").alias("_text"))
-    table = T.StructType([T.StructField(id_col, id_type), *T.StructType.fromDDL("_row bigint, _hash bigint, range_no int, char_start bigint, n_chars bigint, synced boolean, chars binary, kinds binary, core string").fields])
-
-    def one_range(lo: int, text: str, last: bool) -> tuple[int, int, bool]:
-        """Where the range's own characters lie in text: from, to, and whether both ends are sure."""
-        lead = 1 if lo else 0
-        a = 0
-        if lo:
-            m = _CUT.search(text, lead)
-            if not m or m.start() - lead > halo:
-                return 0, 0, False
-            a = m.start()
-        if last:
-            return min(a, len(text)), len(text), True
-        m = _CUT.search(text, reach + lead)
-        # a cut needs its right-hand side in view
-        if not m or m.start() + 2 > len(text):
-            return 0, 0, False
-        return min(a, m.start()), m.start(), True
+    rows = src.filter(big).select(id_col, "_text", F.monotonically_increasing_id().alias("_row"), F.xxhash64("_text").alias("_hash"))
+    head = [T.StructField(id_col, id_type), *T.StructType.fromDDL("_row bigint, _hash bigint, range_no int, char_start bigint, n_chars bigint, last boolean, left_end int, right_end int").fields]
+    cut_schema = T.StructType([*head, *T.StructType.fromDDL("core string, behind string").fields])
+    table = T.StructType([*head, *T.StructType.fromDDL("first_id int, last_id int, chars binary, kinds binary, core string").fields])
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer, folder)
+        for b in batches:
+            data, off = raw(b.column(1))
+            for x in range(b.num_rows):
+                lo, end = int(off[x]), int(off[x + 1])
+                no, char, left, held, size = 0, 0, SURE, [], 0
+                while lo < end:
+                    hi, right = next_cut(enc, data, lo, lo + reach, end, halo, left) if lo + reach < end else (end, SURE)
+                    n = int(np.count_nonzero((data[lo:hi] & 0xC0) != 0x80))
+                    z = min(end, hi + 8)
+                    while z < end and (data[z] & 0xC0) == 0x80:
+                        z += 1
+                    held.append((no, char, n, hi == end, left, right, data[lo:hi].tobytes(), data[hi:z].tobytes() if right == SURE else b""))
+                    no, char, left, size, lo = no + 1, char + n, right, size + hi - lo, hi
+                    if size > 4 << 20 or lo == end:
+                        c = list(zip(*held))
+                        same = [b.column(k).take(pa.array([x] * len(held))) for k in (0, 2, 3)]
+                        yield pa.RecordBatch.from_arrays(
+                            [*same, pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3]), pa.array(c[4], pa.int32()), pa.array(c[5], pa.int32()), pa.array(c[6], pa.binary()).cast(pa.string()), pa.array(c[7], pa.binary()).cast(pa.string())], cut_schema.names
+                        )
+                        held, size = [], 0
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, folder)
         for b in batches:
             for r in range(b.num_rows):
-                no, lo, last, text = [b.column(k)[r].as_py() for k in range(3, 7)]
-                a, z, sure = one_range(lo, text, last)
-                core = text[a:z].encode()
+                core, behind = b.column(9)[r].as_py().encode(), b.column(10)[r].as_py().encode()
                 data = np.frombuffer(core, np.uint8)
-                ends, kinds = np.zeros(0, np.int64), np.zeros(0, np.uint8)
-                if sure and core:
-                    # what follows decides on white space at the end and on the kind of the last boundary
-                    behind = text[z : z + 2].encode()
-                    full = np.frombuffer(core + behind, np.uint8)
-                    got = list(boundaries(enc, full, np.array([0, len(full)])))
-                    ends = np.concatenate([e + o for _, o, e, _ in got])
-                    kinds = np.concatenate([k for *_, k in got])
-                    keep = ends <= len(core)
-                    ends, kinds = ends[keep], kinds[keep]
+                # what follows decides on white space at the end and on the kind of the last boundary
+                got = list(boundaries(enc, np.frombuffer(core + behind, np.uint8), np.array([0, len(core) + len(behind)])))
+                ends = np.concatenate([e + o for _, o, e, _ in got])
+                kinds = np.concatenate([k for *_, k in got])
+                keep = ends <= len(core)
+                ends, kinds = ends[keep], kinds[keep]
+                if b.column(8)[r].as_py() != SURE:
+                    kinds[-1] = TOKEN
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 per = np.diff(chars[ends], prepend=0)
+                edge = [core[: ends[0]], core[ends[-2] if len(ends) > 1 else 0 : ends[-1]]]
+                first, last = (enc.ranks[t] for t in edge)
                 yield pa.RecordBatch.from_arrays(
-                    [*[b.column(k).slice(r, 1) for k in range(3)], pa.array([no], pa.int32()), pa.array([lo - (1 if lo else 0) + a], pa.int64()), pa.array([z - a], pa.int64()), pa.array([sure]), pa.array([per.astype("<u2").tobytes()], pa.binary()), pa.array([kinds.tobytes()], pa.binary()), pa.array([text[a:z]], pa.string())], table.names
+                    [*[b.column(k).slice(r, 1) for k in range(9)], pa.array([first], pa.int32()), pa.array([last], pa.int32()), pa.array([per.astype("<u2").tobytes()], pa.binary()), pa.array([kinds.tobytes()], pa.binary()), b.column(9).slice(r, 1)], table.names
                 )
 
-    tab = materialize(parts.repartition(F.col("_row"), F.col("range_no")).mapInArrow(tables, table))
-    # a run of one class longer than the halo has no sure place to cut: such texts are worked on whole
-    unsure = tab.filter("not synced").select(F.col(id_col).alias("_id"), "_row", "_hash").distinct()
+    tab = materialize(rows.mapInArrow(ranges, cut_schema).repartition(F.col("_row"), F.col("range_no")).mapInArrow(tables, table))
+    spans = T.StructType([*out.fields[:-1], *T.StructType.fromDDL("_row bigint, _hash bigint, range_no int, _from bigint, _len bigint").fields])
+
+    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer, folder)
+        now, rows = None, []
+
+        def batch(some: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), to_arrow)], names=spans.names)
+
+        to_arrow = list(pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in spans.fields]))
+        for b in batches:
+            for r in b.to_pylist():
+                if now is None or now.row != r["_row"]:
+                    now = Stitcher(enc, r["_row"], most, overlap)
+                for piece in now.feed(r):
+                    rows.append((r[id_col], *piece[:6], r["_row"], r["_hash"], *piece[6:]))
+                if len(rows) >= 4096:
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
+
+    order = ["_row", "range_no"]
+    span = materialize(tab.drop("core").repartition("_row").sortWithinPartitions(*order).mapInArrow(stitch, spans))
+    # ends that did not fit: such texts are worked on whole
+    unsure = span.filter("piece_no < 0").select(F.col(id_col).alias("_id"), "_row", "_hash")
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_hash"))
-    again = src.filter(big).join(unsure, same, "left_semi").mapInArrow(whole, out)
-    spans = T.StructType([*out.fields[:-1], *T.StructType.fromDDL("_row bigint, range_no int, _from bigint, _len bigint").fields])
-
-    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("range_no")
-        kinds = np.frombuffer(b"".join(pdf["kinds"]), np.uint8)
-        edge = np.concatenate([[0], np.cumsum(np.frombuffer(b"".join(pdf["chars"]), "<u2").astype(np.int64))])
-        lo = pdf["char_start"].to_numpy()
-        hi = lo + pdf["n_chars"].to_numpy()
-        rows = []
-        for k, (s, e, kd) in enumerate(cuts(kinds, most, overlap) if len(kinds) > most else [(0, len(kinds), CUE)]):
-            a, z = int(edge[s]), int(edge[e])
-            for r in range(np.searchsorted(hi, a, "right"), np.searchsorted(lo, z, "left")):
-                f = max(a, lo[r])
-                if f == min(z, hi[r]):
-                    continue
-                rows.append((pdf[id_col].iloc[0], k, a, z, s, e, "end" if e == len(kinds) else KINDS[kd], int(pdf["_row"].iloc[0]), int(pdf["range_no"].iloc[r]), f - lo[r], min(z, hi[r]) - f))
-        return pd.DataFrame(rows, columns=spans.names)
-
-    sure = tab.join(unsure.select("_row"), "_row", "left_anti")
-    span = sure.select(id_col, "_row", "range_no", "char_start", "n_chars", "chars", "kinds").groupBy("_row").applyInPandas(stitch, spans)
-    cut = span.join(sure.select("_row", "range_no", "core"), ["_row", "range_no"]).withColumn("_t", F.expr("substring(core, cast(_from as int) + 1, cast(_len as int))"))
+    again = src.filter(big).join(unsure.dropDuplicates(["_id", "_hash"]), same, "left_semi").mapInArrow(whole, out)
+    sound = span.join(unsure.select("_row"), "_row", "left_anti").drop("_hash")
+    cut = sound.join(tab.select("_row", "range_no", "core"), order).withColumn("_t", F.expr("substring(core, cast(_from as int) + 1, cast(_len as int))"))
     key = names[:-1]
     large = cut.groupBy("_row", *key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range_no", "_t"))), lambda x: x["_t"]), "").alias("piece_text")).drop("_row")
     return small.unionByName(again).unionByName(large)
