@@ -386,6 +386,23 @@ def _by_rule(what: str, args: list[str]) -> str | None:
     return f.format(*a) if f else None
 
 
+def range_agg(r: str) -> str:
+    """The multirange of ranges: sorted, those that overlap or touch made one. Empty and null ranges do not count. For
+    keys of very many ranges there is operators.windows.range_agg."""
+    rows = f"array_sort(collect_set(if(isnull({r}) or coalesce(({r}).lo > ({r}).hi or (({r}).lo = ({r}).hi and not (({r}).lo_inc and ({r}).hi_inc)), false), null, named_struct('b', ({r}).lo is not null, 'lo', ({r}).lo, 'x', not ({r}).lo_inc, 'r', {r}))))"
+    touch = "l.hi is null or s.r.lo is null or s.r.lo < l.hi or (s.r.lo = l.hi and (s.r.lo_inc or l.hi_inc))"
+    wide = "named_struct('lo', l.lo, 'hi', if(l.hi is null or s.r.hi is null, null, greatest(l.hi, s.r.hi)), 'lo_inc', l.lo_inc, 'hi_inc', case when l.hi > s.r.hi then l.hi_inc when l.hi < s.r.hi then s.r.hi_inc else l.hi_inc or s.r.hi_inc end)"
+    last = "element_at(a, -1)"
+    step = f"if(size(a) > 0 and ({touch.replace('l.', last + '.')}), concat(slice(a, 1, size(a) - 1), array({wide.replace('l.', last + '.')})), concat(a, array(s.r)))"
+    return f"aggregate({rows}, slice(collect_set({r}), 1, 0), (a, s) -> {step})"
+
+
+def range_intersect_agg(r: str) -> str:
+    """What all ranges share."""
+    lo, hi = f"max(if(({r}).lo is null, null, named_struct('v', ({r}).lo, 'x', not ({r}).lo_inc)))", f"min(if(({r}).hi is null, null, named_struct('v', ({r}).hi, 'x', ({r}).hi_inc)))"
+    return f"named_struct('lo', ({lo}).v, 'hi', ({hi}).v, 'lo_inc', coalesce(not ({lo}).x, false), 'hi_inc', coalesce(({hi}).x, false))"
+
+
 def build(name: str, args: list[str]) -> str | None:
     """The expression of a call, or None where Spark's function of that name is meant."""
     if name in FUNCS:

@@ -18,14 +18,15 @@ from pyspark.sql import functions as F
 
 
 def _rows(f: Callable, *cols: pd.Series) -> pd.Series:
-    """f row by row within an Arrow batch; a null argument gives null, as does an argument that f cannot read."""
+    """f row by row within an Arrow batch; a null argument gives null, and so does a member that is not there. An argument
+    that f cannot read is an error."""
 
     def one(*a: object) -> object:
         if any(x is None or x is pd.NA or (isinstance(x, float) and math.isnan(x)) for x in a):
             return None
         try:
             return f(*a)
-        except (ValueError, KeyError, TypeError, IndexError):
+        except (KeyError, TypeError, IndexError):
             return None
 
     return pd.Series([one(*a) for a in zip(*cols)], dtype=object)
