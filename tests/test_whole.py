@@ -54,7 +54,7 @@ def test_win_range_whole(spark, lines):
     assert len(got) == len(rows) and {tuple(x) for x in got} == want
 
 
-@pytest.mark.parametrize("name", ["join_full_whole", "join_full_anti_whole"])
+@pytest.mark.parametrize("name", ["join_full", "join_full_anti"])
 def test_join_full_whole(spark, tmp_path, name):
     """Whole tables with ids above 500, a hot key, null keys, customers without orders and orders without customers."""
     r = random.Random(5)
@@ -64,7 +64,7 @@ def test_join_full_whole(spark, tmp_path, name):
     spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     on = [(c[0], o[0]) for c in cust for o in orders if c[0] is not None and c[0] == o[1] and o[2] > 40 * c[1]]
     alone = [(c[0], None) for c in cust if c[0] not in {x for x, _ in on}] + [(None, o[0]) for o in orders if o[0] not in {y for _, y in on}]
-    want = alone + (on if name == "join_full_whole" else [])
+    want = alone + (on if name == "join_full" else [])
     got = [tuple(x) for x in relational.QUERIES[name](spark, str(tmp_path)).collect()]
     assert on and sorted(got, key=str) == sorted(want, key=str)
 
@@ -73,14 +73,14 @@ def test_with_ties_whole(spark, tmp_path):
     """The top quantities and their ties lie behind order 400."""
     rows = [(1000 + i, i % 3, float(50 if i % 20 == 0 else i % 50)) for i in range(300)] + [(i, 0, 49.0) for i in range(20)]
     spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = {tuple(x) for x in relational.QUERIES["with_ties_whole"](spark, str(tmp_path)).collect()}
+    got = {tuple(x) for x in relational.QUERIES["with_ties"](spark, str(tmp_path)).collect()}
     assert got == {x for x in rows if sum(y[2] > x[2] for y in rows) < 5} and len(got) == 15
 
 
 def test_scan_reverse_whole(spark, tmp_path):
     keys = random.Random(6).sample(range(5000), 700)
     spark.createDataFrame([(k, k % 7) for k in keys], "o_orderkey bigint, o_custkey bigint").repartition(5).write.parquet(f"{tmp_path}/orders.parquet")
-    got = relational.QUERIES["scan_reverse_whole"](spark, str(tmp_path)).collect()
+    got = relational.QUERIES["scan_reverse"](spark, str(tmp_path)).collect()
     assert [tuple(x) for x in got] == [(k, k % 7) for k in sorted(keys, reverse=True)]
 
 
@@ -118,3 +118,18 @@ def test_p2_descendants_whole(spark, tmp_path):
     want |= {("role", "n1", a, x, k, (x, x) in pairs) for (a, x), k in pairs.items()}
     got = [tuple(x) for x in pipeline.QUERIES["p2_descendants"](spark, str(tmp_path)).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_tablesample(spark, tmp_path):
+    """About a tenth of the rows, each at most once, the same again for the same seed."""
+    spark.range(20_000).selectExpr("id as o_orderkey", "id % 7 as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    run = lambda: sorted(r.o_orderkey for r in relational.QUERIES["tablesample"](spark, str(tmp_path)).collect())
+    got = run()
+    assert 1700 < len(got) < 2300 and len(set(got)) == len(got) and got == run()
+
+
+def test_offset_ties(spark, tmp_path):
+    """Behind three rows, four more and those that tie with the last."""
+    sizes = [9, 8, 8, 8, 7, 7, 6, 6, 6, 5, 5, 1]
+    spark.createDataFrame(list(enumerate(sizes)), "p_partkey int, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted(r.p_size for r in relational.QUERIES["offset_ties"](spark, str(tmp_path)).collect()) == [6, 6, 6, 7, 7, 8]

@@ -332,6 +332,7 @@ _MANY: dict[str, Build] = {
 }
 _MANY |= {f"{k}multirange": lambda *a: f"array({', '.join(a)})" for k in ("int4", "int8", "num", "date", "ts", "tstz")}
 PLAIN: dict[str, Build] = {
+    "array_append": lambda a, x: f"coalesce(array_append({a}, {x}), array({x}))",
     **{f"numeric_{k}": _same(k) for k in ("exp", "ln", "power", "sqrt")}, "numeric_log": lambda b, x: f"log({b}, {x})", "numeric_uminus": lambda x: f"(-({x}))", "numeric_uplus": lambda x: f"({x})", "numeric_div_trunc": lambda a, b: MATH["div"](a, b), "textlen": _same("length"), "bitcat": _same("concat"), "byteacat": _same("concat"),
     "date_pli": lambda a, b: f"date_add({a}, {b})", "date_mii": lambda a, b: f"date_sub({a}, {b})", "integer_pl_date": lambda a, b: f"date_add({b}, {a})", "mul_d_interval": lambda a, b: f"({b} * {a})", "justify_hours": lambda i: i, "justify_days": lambda i: i, "justify_interval": lambda i: i, "get_byte": lambda x, n: f"cast(conv(hex(substring({x}, ({n}) + 1, 1)), 16, 10) as int)",
     "cash_words": lambda x: f"cast({x} as string)", "cash_div_cash": lambda a, b: f"(cast({a} as double) / cast({b} as double))", "xml": _cast("string"), "xmlexists": lambda p, x: f"xpath_boolean({x}, {p})", "xml_is_well_formed_content": lambda x: f"tm_xml_ok(concat('<r>', {x}, '</r>'))", "convert": lambda x, a, b: f"encode(decode({x}, {a}), {b})",

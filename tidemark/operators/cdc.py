@@ -9,6 +9,8 @@ with a third of all changes is no bottleneck, and a truncation is one number.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +32,9 @@ def committed(changes: DataFrame, transactions: DataFrame) -> DataFrame:
 
 
 def after_truncate(changes: DataFrame) -> DataFrame:
-    """The changes behind the last truncation."""
-    last = changes.filter("op = 'T'").agg(F.max(pos()).alias("t")).first().t  # one position
-    return changes if last is None else changes.filter(pos() > F.struct(*[F.lit(v).cast("long").alias(c) for c, v in zip(POS, last)]))
+    """The changes behind the last truncation, whose position is a scalar subquery of the plan."""
+    last = changes.filter("op = 'T'").agg(F.max(pos()).alias("t")).scalar()
+    return changes.filter(last.isNull() | (pos() > last))
 
 
 def split_key_updates(changes: DataFrame, keys: Sequence[str], old: str = "_old") -> DataFrame:
@@ -82,10 +84,18 @@ def as_inserts(base: DataFrame, xid: int) -> DataFrame:
 
 
 def merge_pending(base: DataFrame, base_xid: int, pending: DataFrame, keys: Sequence[str], as_of: int | None = None) -> DataFrame:
-    """A snapshot with pending changes on top; changes up to base_xid are in the base already."""
+    """A snapshot with pending changes on top; changes up to base_xid are in the base already. Only the base's rows with a
+    key that was touched are folded; the others pass by. The touched keys are sent to the base's scan where the planner
+    knows their log to be small (spark.sql.autoBroadcastJoinThreshold), so that the base is not shuffled."""
     values = [c for c in base.columns if c not in keys]
     later = pending.filter(F.col("xid") > base_xid)
-    return fold(as_inserts(base, base_xid).unionByName(later, allowMissingColumns=True), keys, values, as_of)
+    later = later if as_of is None else later.filter(F.col("xid") <= as_of)
+    touched = later.select(*[F.col(k).alias(f"_t_{k}") for k in keys]).distinct()
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys])
+    emptied = later.filter("op = 'T'").agg(F.count(F.lit(1)).alias("n")).scalar()
+    rest = base.join(touched, same, "left_anti").filter(emptied == 0)
+    changed = fold(as_inserts(base.join(touched, same, "left_semi"), base_xid).unionByName(later, allowMissingColumns=True), keys, values)
+    return rest.select(*keys, *values).unionByName(changed)
 
 
 def after_copy(changes: DataFrame, xmin: int, xmax: int, running: Sequence[int]) -> DataFrame:

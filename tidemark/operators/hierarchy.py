@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.forest import NO_ROOT, ON_CYCLE, solver
 from tidemark.operators.skew import ROWS, hot_keys, salted_join
-from tidemark.session import materialize
+from tidemark.session import materialize, release
 
 SEP = "/"
 LOCAL = 1 << 14
@@ -45,7 +45,8 @@ def _trim(e: DataFrame, live: DataFrame, x: str, y: str, g: list[str], rows: int
         while left and 2**rounds <= n:
             to = st.select(*g, F.col("x").alias("t"), F.col("t").alias("_t"), "free")
             new = _join(st.filter("free is null").select(*g, "x", "t"), to, [*g, "t"], ["x"], rows=rows).select(*g, "x", F.col("_t").alias("t"), "free")
-            st, rounds = materialize(st.filter("free is not null").unionByName(new)), rounds + 1
+            was, st, rounds = st, materialize(st.filter("free is not null").unionByName(new)), rounds + 1
+            release(was)
             left = st.filter("free is null").count()
         gone = st.filter("free").select(*g, "x")
         if gone.isEmpty():
@@ -70,7 +71,9 @@ def _min_labels(edges: DataFrame, start: DataFrame, g: list[str], rows: int | No
         jump = _join(lab, lab.select(*g, _label("x").alias("m"), F.col("m").alias("_m")), [*g, "m"], ["x"], rows=rows).select(*g, "x", F.col("_m").alias("m"))
         new = materialize(lab.select(*g, "x", "m").unionByName(over).unionByName(jump).groupBy(*g, "x").agg(F.min("m").alias("m")))
         if lab.select(*g, "x", F.col("m").alias("_old")).join(new, [*g, "x"]).filter("m <> _old").isEmpty():
+            release(lab)
             return new
+        release(lab)
         lab = new
 
 
@@ -222,7 +225,8 @@ def _spread(links: DataFrame, ids: DataFrame, cyc: DataFrame | None, g: list[str
         on = [*g, "_via"]
         joined = salted_join(act, to, on, ["n"], rows=rows) if n[False] > rows else act.join(to.hint("merge"), on)
         joined = joined.select(*g, "n", "t", "done", (F.col("d") + F.col("_d")).alias("d"), (F.concat("p", "_p") if paths else F.col("p")).alias("p"))
-        state = materialize(_least(joined.unionByName(state.filter("done")), [*g, "n", "t", "done"], paths))
+        was, state = state, materialize(_least(joined.unionByName(state.filter("done")), [*g, "n", "t", "done"], paths))
+        release(was)
     done = state.filter("done").select(*g, "n", "t", "d", "p")
     own = (ids if every else ids.filter("root")).select(*g, "n", F.col("n").alias("t"), F.lit(0).cast("long").alias("d"), no_path.alias("p"))
     out = done.unionByName(own)

@@ -6,14 +6,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.engine import Engine
 from tidemark.operators import catalog, cdc, windows
 from tidemark.operators.asof import asof_known
 from tidemark.plans.security import Policy, secured
-from tidemark.session import shared_dir
+from tidemark.session import materialize, shared_dir
+from tidemark.sources import files
 from tidemark.sources.store import Store
 from tidemark.sources.tables import load
-from tidemark.streaming.apply import windowed_counts
+from tidemark.streaming.apply import Applier, start, windowed_counts
 
 OP = "CASE event_type WHEN 'error' THEN 'D' WHEN 'signup' THEN 'I' ELSE 'U' END"
 X = 4000
@@ -80,6 +83,13 @@ def compaction_view(spark, d):
     return cdc.fold(cdc.compact(_log(spark, d), KEY, VALS, X), KEY, VALS)
 
 
+def _kept(st: Store, df: DataFrame) -> DataFrame:
+    """The result, and the store that it came from removed."""
+    got = materialize(df)
+    st.remove()
+    return got
+
+
 def store_snapshot(spark, d):
     """A copy, two commits, a replay that is skipped, and a read between the commits."""
     st = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
@@ -88,7 +98,118 @@ def store_snapshot(spark, d):
     st.apply({"t": log.filter(f"xid <= {X}")}, X)
     st.apply({"t": log.filter(f"xid > {X}")}, 10**12)
     st.apply({"t": log}, X)
-    return st.read("t", X)
+    return _kept(st, st.read("t", X))
+
+
+SHOP = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("event_type", T.StringType())])
+
+
+def _messages(spark, d, folder):
+    """events as a replication stream in three files: each run of ten is a transaction (each seventh aborts, each fifth is
+    a part of the next one), the last is left open, and after half of them the table's column is renamed and one is added."""
+    e = load(spark, d, "events").filter("user_id is not null")
+    part = F.expr("event_id div 10")
+    row = F.to_json(F.struct("user_id", F.when(F.col("event_id") < X, F.col("value")).alias("value"), F.when(F.col("event_id") >= X, F.col("value")).alias("amount"), "event_type", F.when(F.col("event_id") >= X, F.lit("new")).alias("note")))
+    body = F.when(F.col("event_id") % 3 == 0, F.lit("D")).otherwise("I")
+    change = e.select(F.lit("change").alias("kind"), part.alias("pg_xid"), F.when(part % 5 == 0, part + 1).alias("top_xid"), F.col("event_id").alias("lsn"), F.lit("public").alias("schema_name"), F.when(F.col("event_id") % 11 == 0, "unknown").otherwise("shop").alias("table_name"), body.alias("op"), F.lit(None).cast("long").alias("commit_xid"), row.alias("row"))
+    tx = e.select(part.alias("pg_xid")).distinct()
+    end = tx.select(F.when(F.col("pg_xid") % 7 == 0, "abort").otherwise("commit").alias("kind"), "pg_xid", F.when(F.col("pg_xid") % 5 == 0, F.col("pg_xid") + 1).alias("top_xid"), (F.col("pg_xid") * 10 + 9).alias("lsn"), (F.col("pg_xid") * 2 + 1000).alias("commit_xid"))
+    end = end.filter((F.col("pg_xid") < X / 10 + 500) & (F.col("kind").isin("abort") | F.col("top_xid").isNull()))
+    ddl = spark.createDataFrame([("ddl", 2_000_000, X - 1, "public", "shop", "rename_column", '{"old_name": "value", "new_name": "amount"}'), ("ddl", 2_000_000, X - 1, "public", "shop", "add_column", '{"column": {"name": "note", "type": "string"}}')], "kind string, pg_xid bigint, lsn bigint, schema_name string, table_name string, op string, row string")
+    mark = spark.createDataFrame([("commit", 2_000_000, X - 1, X // 10 * 2 + 999)], "kind string, pg_xid bigint, lsn bigint, commit_xid bigint")
+    every = change.unionByName(end, allowMissingColumns=True).unionByName(ddl, allowMissingColumns=True).unionByName(mark, allowMissingColumns=True)
+    third = F.when(F.col("lsn") < X / 2, 0).when(F.col("lsn") < X + 2000, 1).otherwise(2)
+    for i in range(3):
+        every.filter(third == i).coalesce(2).write.mode("append").json(folder)
+
+
+def _applied(spark, d, then):
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    st = Store(spark, f"{root}/store")
+    st.copy("shop", spark.createDataFrame([], SHOP), KEY, 1)
+    _messages(spark, d, f"{root}/in")
+    # what was read last time is not applied again: a second run from the start must change nothing
+    for again in ("a", "b"):
+        start(spark, f"{root}/in", Applier(st, {"shop": SHOP}), f"{root}/ck-{again}", files_per_batch=2).awaitTermination()
+    return _kept(Store(spark, root), then(st))
+
+
+def stream_apply(spark, d):
+    """Streamed transactions, aborts, parts, unknown tables, an ALTER on the way, and a replay: the table at the end."""
+    return _applied(spark, d, lambda st: st.read("shop"))
+
+
+def stream_apply_asof(spark, d):
+    """The same before the ALTER: the columns as they were."""
+    return _applied(spark, d, lambda st: st.read("shop", X // 10 * 2 + 998))
+
+
+def table_stats(spark, d):
+    """Row counts as kept with each commit, against a count."""
+    st = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    c = load(spark, d, "customer").select("c_custkey", "c_acctbal")
+    st.copy("t", c.filter("c_acctbal < 5000"), ["c_custkey"], 10)
+    log = lambda cond, op, xid: c.filter(cond).select(F.lit(op).alias("op"), F.lit(xid).cast("long").alias("xid"), F.lit(0).cast("long").alias("lsn"), "c_custkey", "c_acctbal")
+    st.apply({"t": log("c_acctbal >= 5000", "I", 20)}, 20)
+    st.apply({"t": log("c_acctbal < 0", "D", 30)}, 30)
+    st.compact("t", 40)
+    return _kept(st, st.catalog()["table_stats"].select("table_name", "xid", "row_count"))
+
+
+def store_resync(spark, d):
+    """A change of type asks for a new copy; after it the old log no longer counts. Vacuum leaves what is read."""
+    st = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    o = load(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("int").alias("price"))
+    st.copy("t", o, ["o_orderkey"], 10)
+    st.apply({"t": o.filter("price % 2 = 0").select(F.lit("D").alias("op"), F.lit(20).cast("long").alias("xid"), F.lit(0).cast("long").alias("lsn"), "o_orderkey", "price")}, 20)
+    st.alter("t", "set_type", {"column": "price", "type": "double"}, 30)
+    assert st.needs_copy() == ["t"]
+    st.copy("t", load(spark, d, "orders").filter("o_orderstatus <> 'O'").select("o_orderkey", F.col("o_totalprice").alias("price")), ["o_orderkey"], 40)
+    st.vacuum(40)
+    return _kept(st, st.read("t"))
+
+
+def copy_out(spark, d):
+    return Engine.over(spark, d, "customer").sql("COPY (SELECT c_custkey, c_name, nullif(c_mktsegment, 'BUILDING') FROM customer) TO STDOUT")
+
+
+def csv_load(spark, d):
+    """A table written as CSV with a header and read again under a schema."""
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    load(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal").write.option("header", "true").csv(path)
+    return _kept(Store(spark, path), files.read(spark, "csv", path, "s_suppkey bigint, s_name string, s_acctbal double", pathGlobFilter="*.csv"))
+
+
+def prepared(spark, d):
+    e = Engine.over(spark, d, "orders")
+    e.sql("PREPARE q (int, text) AS SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = $1 AND o_orderstatus <> $2")
+    return e.sql("EXECUTE q(7, 'P')")
+
+
+def register_tables(spark, d):
+    """All tables of a store under one transaction, but those left out."""
+    st = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    for i, n in enumerate(("nation", "region", "supplier"), 1):
+        t = load(spark, d, n)
+        st.copy(f"imp_{n}", t, t.columns[:1], i)
+    st.register(exclude=["imp_supplier"])
+    return _kept(st, Engine(spark).sql("SELECT n_name, r_name FROM imp_nation JOIN imp_region ON n_regionkey = r_regionkey"))
+
+
+def transaction_pin(spark, d):
+    """Statements of one transaction see the commit that was the last at BEGIN; the next transaction sees what came."""
+    st = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    n = load(spark, d, "nation").select("n_nationkey", "n_name")
+    st.copy("pinned", n.filter("n_nationkey < 10"), ["n_nationkey"], 10)
+    e, out = Engine(spark), []
+    e.attach(st)
+    for words in (["BEGIN"], [], ["COMMIT"]):
+        for w in words:
+            e.sql(w)
+        out.append(materialize(e.sql("SELECT count(*) AS n FROM pinned").withColumn("step", F.lit(len(out)))))
+        if len(out) == 1:
+            st.apply({"pinned": n.filter("n_nationkey >= 10").select(F.lit("I").alias("op"), F.lit(20).cast("long").alias("xid"), F.lit(0).cast("long").alias("lsn"), "n_nationkey", "n_name")}, 20)
+    return _kept(st, out[0].unionByName(out[1]).unionByName(out[2]))
 
 
 def catalog_columns_asof(spark, d):
@@ -132,9 +253,15 @@ def rls_view(spark, d):
 
 
 def enum_order(spark, d):
+    """Labels in their own order, one added between two others: those before O, with their places."""
     labels = catalog.enum_add({"P": 1.0, "O": 2.0}, "F", before="O")
-    o = load(spark, d, "orders")
-    return o.select("o_orderkey", "o_orderstatus").filter(catalog.enum_rank("o_orderstatus", labels) < catalog.enum_rank("o_orderstatus", labels) * 0 + 2.0)
+    o = load(spark, d, "orders").select("o_orderkey", "o_orderstatus", catalog.enum_rank("o_orderstatus", labels).alias("place"))
+    return o.filter(F.col("place") < labels["O"])
+
+
+def pivot_crosstab(spark, d):
+    got = load(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().fillna(0)
+    return got.withColumnsRenamed({"F": "f", "O": "o", "P": "p"})
 
 
 def win_groups(spark, d):
@@ -188,7 +315,7 @@ def stream_window_counts(spark, d):
     return windowed_counts(load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 hour", "10 minutes").select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
 
 
-_S = "SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, {} FROM lineitem WHERE l_suppkey < 40"
+_S = "SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, {} FROM lineitem"
 SQL = {
     "cdc_latest": _LAST.format(log=LOG, cond="true"),
     "snapshot_asof": _LAST.format(log=LOG, cond=f"xid <= {X}"),
@@ -216,7 +343,8 @@ SQL = {
     "schema_evolve_project": "SELECT o_orderkey AS id, o_totalprice AS total_price, o_orderstatus AS status, 'none' AS note FROM orders",
     "partition_union": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 100000",
     "rls_view": "SELECT c_custkey FROM customer WHERE (c_nationkey IN (1, 2, 3) OR c_mktsegment LIKE 'B%') AND c_acctbal >= 0",
-    "enum_order": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('P', 'F')",
+    "enum_order": "SELECT o_orderkey, o_orderstatus, CASE o_orderstatus WHEN 'P' THEN 1.0 ELSE 1.5 END AS place FROM orders WHERE o_orderstatus IN ('P', 'F')",
+    "pivot_crosstab": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY o_orderpriority",
     "win_groups": _S.format("count(*) OVER w AS n, max(l_orderkey) OVER w AS top") + " WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_quantity GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING)",
     "win_exclude": _S.format("""CAST(sum(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_quantity, l_orderkey, l_linenumber ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS BIGINT) AS without_row,
         count(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_quantity GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP) AS without_group,
@@ -230,5 +358,21 @@ SQL = {
     "sorted_merge": "SELECT c_custkey AS k, 'c' AS src FROM customer UNION ALL SELECT s_suppkey, 's' FROM supplier ORDER BY k, src",
     "stream_window_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
+_STREAM = """WITH c AS (SELECT event_id, event_id // 10 AS p, user_id, value, event_type FROM events WHERE user_id IS NOT NULL),
+        k AS (SELECT *, CASE WHEN p % 5 = 0 THEN p + 1 ELSE p END AS top FROM c WHERE event_id % 11 <> 0),
+        ok AS (SELECT *, top * 2 + 1000 AS xid FROM k WHERE p % 7 <> 0 AND top % 7 <> 0 AND top % 5 <> 0 AND top < {x} / 10 + 500 AND EXISTS (SELECT 1 FROM c t WHERE t.p = k.top) {cond}),
+        l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY xid DESC, event_id DESC) AS rn FROM ok)
+        SELECT user_id, value AS {name}, event_type {note} FROM l WHERE rn = 1 AND event_id % 3 <> 0"""
+SQL |= {
+    "stream_apply": _STREAM.format(x=X, cond="", name="amount", note=f", CASE WHEN event_id >= {X} THEN 'new' END AS note"),
+    "stream_apply_asof": _STREAM.format(x=X, cond=f"AND top < {X // 10}", name="value", note=""),
+    "table_stats": "SELECT 't' AS table_name, CAST(x AS BIGINT) AS xid, CAST(CASE x WHEN 10 THEN lo WHEN 20 THEN n ELSE n - neg END AS BIGINT) AS row_count FROM (SELECT count(*) AS n, count(*) FILTER (WHERE c_acctbal < 5000) AS lo, count(*) FILTER (WHERE c_acctbal < 0) AS neg FROM customer) c, (VALUES (10), (20), (30), (40)) v(x)",
+    "store_resync": "SELECT o_orderkey, o_totalprice AS price FROM orders WHERE o_orderstatus <> 'O'",
+    "copy_out": "SELECT c_custkey || chr(9) || c_name || chr(9) || CASE WHEN c_mktsegment = 'BUILDING' THEN chr(92) || 'N' ELSE c_mktsegment END AS line FROM customer",
+    "csv_load": "SELECT s_suppkey, s_name, s_acctbal FROM supplier",
+    "prepared": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 AND o_orderstatus <> 'P'",
+    "register_tables": "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "transaction_pin": "SELECT CAST(CASE v WHEN 2 THEN count(*) ELSE count(*) FILTER (WHERE n_nationkey < 10) END AS BIGINT) AS n, v AS step FROM nation, (VALUES (0), (1), (2)) t(v) GROUP BY v",
+}
 SQL["compaction_view"] = SQL["cdc_latest"]
 QUERIES = {n: globals()[n] for n in SQL}

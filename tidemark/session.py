@@ -57,9 +57,29 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table into the shared folder and read it back: the lineage is cut, each stage runs once, and a
-    lost executor costs nothing that was written. The files go when the driver's process ends."""
+    lost executor costs nothing that was written. The files go with release(), at the latest when the driver's process
+    ends."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"tidemark-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _LEFT[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
+
+
+_LEFT: dict[str, SparkSession] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove materialized tables that nothing will read again: their successors are written."""
+    for df in tables:
+        path = getattr(df, "_tidemark_path", None)
+        if path in _LEFT:
+            _remove(_LEFT.pop(path), path)
+
+
+@atexit.register
+def _release_all() -> None:
+    for path, spark in _LEFT.items():
+        _remove(spark, path)
