@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.encode import encode
 from tidemark.llm.pack import pack_texts
 from tidemark.llm.split import split
+from tidemark.session import materialize
 from tidemark.sources.tables import load
 
 
@@ -43,7 +45,50 @@ def _split(spec: int):
     return query
 
 
+def p7_properties(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of each spec's containers, counted: documents that are there; containers over their capacity; numbers
+    left out; documents split though they fit; documents whose parts are not the whole; whether the containers are within
+    a twentieth of the least number."""
+    out = None
+    docs = load(spark, d, "documents").select("doc_id").distinct().count()
+    for s in load(spark, d, "token_limits").collect():  # a fixed table of three rows
+        got = materialize(_pack(s.spec_id)(spark, d))
+        c = got.groupBy("container_id").agg(F.sum("n_tokens").alias("t"))
+        c = c.agg(F.count_if(F.col("t") > s.capacity_tokens).alias("overfull"), (F.max("container_id") + 1 - F.count(F.lit(1))).alias("left_out"), (F.count(F.lit(1)) <= 1 + 1.05 * F.sum("t") / s.capacity_tokens).alias("near_least"))
+        p = got.groupBy("doc_id").agg(F.sum("n_tokens").alias("t"), F.max("token_end").alias("e"), F.min("token_start").alias("b"), F.count(F.lit(1)).alias("n"))
+        p = p.agg(F.count(F.lit(1)).alias("n_documents"), F.count_if((F.col("n") > 1) & (F.col("e") <= s.capacity_tokens)).alias("split_small"), F.count_if((F.col("t") != F.col("e")) | (F.col("b") != 0)).alias("not_whole"))
+        one = spark.createDataFrame([(s.spec_id, *c.first(), *p.first())], "spec_id int, overfull bigint, left_out bigint, near_least boolean, n_documents bigint, split_small bigint, not_whole bigint")
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("all_there", F.col("n_documents") == docs)
+
+
+def p8_properties(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of each spec's pieces, counted: documents; characters that are new in their piece (together the
+    whole texts); pieces over the limit; overlaps other than asked for; pieces that are not their part of the text."""
+    out = None
+    for s in load(spark, d, "token_limits").collect():  # a fixed table of three rows
+        got = _split(s.spec_id)(spark, d)
+        w = W.partitionBy("doc_id").orderBy("piece_no")
+        got = got.withColumn("_e", F.lag("char_end").over(w)).withColumn("_t", F.lag("token_end").over(w))
+        text = load(spark, d, "documents").select("doc_id", "text")
+        size, over = F.col("token_end") - F.col("token_start"), F.col("_t") - F.col("token_start")
+        part = F.expr("substring(text, cast(char_start as int) + 1, cast(char_end - char_start as int))")
+        got = got.join(text, "doc_id").agg(
+            F.count_distinct("doc_id").alias("n_documents"), F.sum(F.col("char_end") - F.coalesce("_e", F.lit(0))).alias("n_chars"), F.count_if(size > s.piece_max_tokens).alias("over_limit"),
+            F.count_if(F.col("_t").isNotNull() & ~over.between(s.overlap_tokens, s.overlap_tokens + 3)).alias("bad_overlap"), F.count_if(~part.eqNullSafe(F.col("piece_text"))).alias("not_their_part"),
+        )
+        got = got.withColumn("spec_id", F.lit(s.spec_id))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+SQL = {
+    "p7_properties": "SELECT spec_id, 0 AS overfull, 0 AS left_out, true AS near_least, (SELECT count(DISTINCT doc_id) FROM documents) AS n_documents, 0 AS split_small, 0 AS not_whole, true AS all_there FROM token_limits",
+    "p8_properties": "SELECT spec_id, (SELECT count(DISTINCT doc_id) FROM documents) AS n_documents, (SELECT CAST(sum(length(text)) AS BIGINT) FROM documents) AS n_chars, 0 AS over_limit, 0 AS bad_overlap, 0 AS not_their_part FROM token_limits",
+}
 QUERIES = {
+    "p7_properties": p7_properties,
+    "p8_properties": p8_properties,
     "p6_ids": p6_ids,
     "p7_pack": _pack(1),
     "p7_pack_spec2": _pack(2),
