@@ -100,3 +100,64 @@ def test_policies(spark):
     assert see("ann", groups=["staff"]) == [1] and see("ann") == [] and see("ann", bypass=True) == [1, 2, 3] and see("ann", enabled=False) == [1, 2, 3]
     assert see("o", owner="o") == [1, 2, 3] and see("o", owner="o", forced=True) == []
     assert predicate([Policy("all")], "x") == "(true)"
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    t = spark.createDataFrame([(1, "abc", 5.5, 10), (2, None, -1.0, 10), (3, "A_c", None, 20), (4, "A_c", 2.0, 20)], "id int, s string, x double, k int")
+    return Engine(spark, {"w": t, "graph": spark.createDataFrame([(1, 2), (1, 3), (2, 3), (1, 4), (4, 5), (5, 1)], "f int, t int")})
+
+
+def test_whole_division(wide):
+    got = wide.sql("SELECT 9007199254740993 / 1 AS a, -7 / 2 AS b, 7 / 2 * 2 AS c, 10 / 3 / 2 AS d, 7.0 / 2 AS e, 7 / 2.5 AS f").first()
+    assert tuple(got)[:4] == (9007199254740993, -3, 6, 1) and float(got.e) == 3.5 and float(got.f) == 2.8
+    assert [tuple(r) for r in wide.sql("SELECT id / 2, x / 2, sum(id) / count(*) FROM w WHERE id IN (1, 4) GROUP BY id, x ORDER BY id").collect()] == [(0, 2.75, 1), (2, 1.0, 4)]
+
+
+def test_ordered_aggregates(wide):
+    got = wide.sql("SELECT array_agg(DISTINCT k ORDER BY k DESC) AS a, array_agg(id ORDER BY k DESC, id) AS b, jsonb_agg(DISTINCT k ORDER BY k) AS c, array_agg(s ORDER BY s NULLS FIRST, id DESC) AS d FROM w").first()
+    assert tuple(got) == ([20, 10], [3, 4, 1, 2], "[10,20]", [None, "A_c", "A_c", "abc"])
+    got = wide.sql("SELECT k, rank(2) WITHIN GROUP (ORDER BY id) AS r, dense_rank(2) WITHIN GROUP (ORDER BY id DESC) AS d, percent_rank(2) WITHIN GROUP (ORDER BY id) AS p, round(cume_dist(2) WITHIN GROUP (ORDER BY id), 4) AS c FROM w GROUP BY k ORDER BY k").collect()
+    assert [tuple(r) for r in got] == [(10, 2, 1, 0.5, 1.0), (20, 1, 3, 0.0, 0.3333)]
+    got = wide.sql("SELECT range_agg(int4range(id, id + 1)) AS r, range_intersect_agg(int4range(id, 9)) AS i, cardinality(range_agg(int4range(id * 3, id * 3 + 1))) AS n FROM w").first()
+    assert [tuple(x)[:2] for x in got.r] == [(1, 5)] and tuple(got.i) == (4, 9, True, False) and got.n == 4
+
+
+def test_frames_in_text(wide):
+    run = lambda q: [tuple(r) for r in wide.sql(q).collect()]
+    q = "SELECT id, sum(id) OVER v AS a, count(*) OVER v AS n, first_value(id) OVER v AS f, avg(x) OVER v AS m FROM w WINDOW v AS (ORDER BY k GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 FOLLOWING EXCLUDE TIES) ORDER BY id"
+    assert [r[:4] for r in run(q)] == [(1, 8, 3, 1), (2, 9, 3, 2), (3, 6, 3, 1), (4, 7, 3, 1)]
+    q = "SELECT u.id, max(id) OVER (ORDER BY k RANGE BETWEEN 10 PRECEDING AND CURRENT ROW EXCLUDE GROUP) AS m, array_agg(id) OVER (ORDER BY id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS l FROM w AS u ORDER BY u.id"
+    assert run(q) == [(1, None, [2]), (2, None, [1, 3]), (3, 2, [2, 4]), (4, 2, [3])]
+    with pytest.raises(dialect.Unsupported):
+        wide.sql("SELECT k, count(*) OVER (ORDER BY k GROUPS 1 PRECEDING) FROM w GROUP BY k")
+
+
+def test_recursion(wide):
+    run = lambda q: [tuple(r) for r in wide.sql(q).collect()]
+    assert run("WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 300) SELECT max(n) FROM r") == [(300,)]
+    got = run("WITH RECURSIVE g(f, t) AS (SELECT * FROM graph x UNION ALL SELECT x.* FROM graph x, g WHERE x.f = g.t) CYCLE f, t SET is_cycle USING path SELECT f, t, is_cycle, cardinality(path) FROM g")
+    assert len(got) == 25 and {x[:3] for x in got} >= {(1, 2, False), (1, 4, True)}
+    step = "SELECT x.f, x.t FROM graph x, g s WHERE x.f = s.t AND x.f < x.t"
+    assert run(f"WITH RECURSIVE g(f, t) AS (SELECT f, t FROM graph WHERE f = 1 UNION ALL {step}) SEARCH DEPTH FIRST BY f, t SET seq SELECT f, t FROM g ORDER BY seq") == [(1, 2), (2, 3), (1, 3), (1, 4), (4, 5)]
+    assert run(f"WITH RECURSIVE g(f, t) AS (SELECT f, t FROM graph WHERE f = 1 UNION ALL {step}) SEARCH BREADTH FIRST BY f, t SET seq SELECT f, t FROM g ORDER BY seq") == [(1, 2), (1, 3), (1, 4), (2, 3), (4, 5)]
+    assert run("SELECT a, b, n FROM ROWS FROM (generate_series(1, 3), unnest(ARRAY['x', 'y'])) WITH ORDINALITY AS z(a, b, n)") == [(1, "x", 1), (2, "y", 2), (3, None, 3)]
+    assert run("SELECT B'101', substring('foobar' from 'o.b'), substring('foobar' from 'o(.)b'), substring('foobar' from 'z')") == [("101", "oob", "o", None)]
+
+
+def test_engines_do_not_disturb_each_other(spark):
+    a, b = (Engine(spark, {"same": spark.createDataFrame([(v,)], "v int")}) for v in (1, 2))
+    assert [e.sql("SELECT v FROM same").first().v for e in (a, b, a)] == [1, 2, 1]
+
+
+def test_pin_never_goes_back(spark, wide):
+    e = Engine(spark)
+    read = lambda n, x: spark.createDataFrame([(x,)], "v int")
+    e.pin(read, ["held"], 9)
+    with pytest.raises(dialect.Unsupported):
+        e.pin(read, ["held"], 8)
+
+
+def test_errors_are_errors(wide):
+    with pytest.raises(Exception, match="JSONDecodeError|Expecting value"):
+        wide.sql("SELECT jsonb_set('nonsense', '{b}', '2')").collect()
