@@ -112,6 +112,23 @@ def test_ranges_of_runs():
         assert most < 7000 or k == 6
 
 
+def test_overlap_within_characters(spark):
+    """Where tokens straddle characters, a piece begins at the last token before its overlap that begins with one."""
+    enc = encoder("byte_bpe_multi_50k")
+    t = "운열쇠에손대지마!정말조용한밤이었지. 알았어,가자. " * 90
+    ends = [0]
+    for i in enc.encode(t):
+        ends.append(ends[-1] + enc.width[i])
+    data = t.encode()
+    within = [e < len(data) and (data[e] & 0xC0) == 0x80 for e in ends]
+    df = spark.createDataFrame([(1, t)], "doc_id bigint, text string")
+    for over in range(9, 25):
+        rows = sorted(split(df, "doc_id", "text", 60, over, tokenizer="byte_bpe_multi_50k").collect(), key=lambda r: r.piece_no)
+        for a, b in zip(rows, rows[1:]):
+            assert a.token_end - b.token_start >= over and not within[b.token_start]
+            assert all(within[b.token_start + 1 : a.token_end - over + 1])
+
+
 def test_limits(spark):
     with pytest.raises(ValueError):
         split(spark.createDataFrame([], "doc_id bigint, text string"), "doc_id", "text", 10, 5)

@@ -128,7 +128,8 @@ def cuts(kind: np.ndarray, most: int, overlap: int) -> list[tuple[int, int, int]
     """(first token, end, kind of the boundary at the end) of each piece. kind: of the boundary after each token.
 
     A piece ends at the last boundary of the best kind within reach. The next one begins `overlap` tokens before that
-    end, or up to three more where that would be within a character."""
+    end or, where that would be within a character, at the last token before it that begins with a character: mostly up
+    to three more, but tokens that hold ends of two characters may follow each other for longer."""
     out, s, done, n = [], 0, 0, len(kind)
     while n - s > most:
         e, best, nxt = one_cut(kind, 0, s, done, most, overlap)
