@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tidemark.llm.bpe import encoder
-from tidemark.llm.split import CUE, KINDS, SENTENCE, WORD, cuts, split
+from tidemark.llm.split import CUE, KINDS, SENTENCE, WORD, cuts, split, split_each
 
 ENC = encoder("byte_bpe_50k")
 
@@ -145,3 +145,14 @@ def test_repeated_rows_and_null_ids(spark):
     key = lambda rows: sorted(map(str, rows))
     a, b = split(df, "doc_id", "text", MOST, OVER, reach=500, halo=100).collect(), split(df, "doc_id", "text", MOST, OVER).collect()
     assert key(a) == key(b) and sum(r.piece_no == 0 for r in a) == len(t)
+
+
+@pytest.mark.parametrize("reach,halo", [(1 << 16, 1 << 12), (500, 100)])
+def test_several_limits(spark, reach, halo):
+    """Limits that are worked on together give the pieces that each gives by itself."""
+    limits = [(MOST, OVER), (60, 0), (700, 128), (MOST, OVER)]
+    df = spark.createDataFrame(list(TEXTS.items()) + [(20, "a" * 9000)], "doc_id bigint, text string")
+    got = split_each(df, "doc_id", "text", limits, reach=reach, halo=halo).collect()
+    for no, (most, overlap) in enumerate(limits):
+        alone = split(df, "doc_id", "text", most, overlap, reach=reach, halo=halo).collect()
+        assert sorted(map(str, (tuple(r)[:-1] for r in got if r.limit_no == no))) == sorted(map(str, map(tuple, alone)))

@@ -81,9 +81,10 @@ def _kinds(cp: np.ndarray, at: np.ndarray, more: int) -> np.ndarray:
     return out
 
 
-def boundaries(enc: ByteBPE, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def boundaries(enc: ByteBPE, data: np.ndarray, off: np.ndarray, least: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(text, bytes, end of each token in bytes from the text's start, kind of boundary after it) for each part of each
-    text, in order. Long texts come in several parts."""
+    text, in order. Long texts come in several parts. A text of at most `least` tokens needs no cut: kinds are not told
+    apart there."""
     for lo, part, cp, chars, at, size in enc.blocks(data, off):
         e = enc._entries(part, at, np.diff(at, append=size))
         cnt = enc.cnt[e]
@@ -99,16 +100,16 @@ def boundaries(enc: ByteBPE, data: np.ndarray, off: np.ndarray) -> Iterator[tupl
         first = np.flatnonzero(new)
         stop = np.append(first[1:], len(at))
         for a, b in zip(first.tolist(), stop.tolist()):
-            c0 = int(chars[a])
-            c1 = int(chars[b]) if b < len(at) else len(cp)
-            own = cp[c0:c1]
-            where = np.append(chars[a + 1 : b], c1) - c0
-            k = _kinds(own, where, 0)
             t0, t1 = (int(last[a - 1]) + 1 if a else 0), int(last[b - 1]) + 1
+            b0, x = int(at[a]), int(text[a])
             kinds = kind[t0:t1].copy()
-            kinds[last[a:b] - t0] = k
-            b0 = int(at[a])
-            yield int(text[a]), lo + b0 - int(off[text[a]]), ends[t0:t1] - b0, kinds
+            if t1 - t0 > least or off[x] < lo + b0 or off[x + 1] > lo + size:  # more than that, or not the whole text
+                c0 = int(chars[a])
+                c1 = int(chars[b]) if b < len(at) else len(cp)
+                own = cp[c0:c1]
+                where = np.append(chars[a + 1 : b], c1) - c0
+                kinds[last[a:b] - t0] = _kinds(own, where, 0)
+            yield x, lo + b0 - int(off[x]), ends[t0:t1] - b0, kinds
 
 
 def one_cut(kind: np.ndarray, base: int, s: int, done: int, most: int, overlap: int) -> tuple[int, int, int]:
@@ -240,11 +241,18 @@ def split(df: DataFrame, id_col: str, text_col: str, most: int, overlap: int, to
     limit is one piece; so are an empty and a null text, of no tokens and with their own text. A row that comes twice is
     split twice; ids may be null.
     """
-    if most < overlap + 8 or overlap < 0:
+    return split_each(df, id_col, text_col, [(most, overlap)], tokenizer, folder, reach, halo).drop("limit_no")
+
+
+def split_each(df: DataFrame, id_col: str, text_col: str, limits: list[tuple[int, int]], tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, reach: int = RANGE, halo: int = HALO) -> DataFrame:
+    """split() for each (most, overlap) of `limits`, whose place from 0 is the last column, limit_no: each text is encoded
+    once for all of them."""
+    if any(most < overlap + 8 or overlap < 0 for most, overlap in limits):
         raise ValueError("a piece must hold more than its overlap and a character")
+    least = min(most for most, _ in limits)
     id_type = df.schema[id_col].dataType
     src = df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    out = T.StructType([T.StructField(id_col, id_type), *T.StructType.fromDDL(PIECE).fields, T.StructField("piece_text", T.StringType())])
+    out = T.StructType([T.StructField(id_col, id_type), *T.StructType.fromDDL(PIECE).fields, T.StructField("piece_text", T.StringType()), T.StructField("limit_no", T.IntegerType())])
     names = out.names
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,31 +271,35 @@ def split(df: DataFrame, id_col: str, text_col: str, most: int, overlap: int, to
                     ends = np.concatenate([p + o for p, o, _ in got])
                     kinds = np.concatenate([k for _, _, k in got])
                     tok[x] = len(kinds)
-                    if len(kinds) > most:
-                        raw_bytes = data[base[x] : base[x + 1]]
-                        chars = np.concatenate([[0], np.cumsum((raw_bytes & 0xC0) != 0x80)])
-                        edge = np.concatenate([[0], ends])
-                        for k, (s, e, kd) in enumerate(cuts(kinds, most, overlap)):
-                            rows.append((x, k, chars[edge[s]], chars[edge[e]], s, e, "end" if e == len(kinds) else KINDS[kd], raw_bytes[edge[s] : edge[e]].tobytes()))
-
-                for x, o, ends, kinds in boundaries(enc, data, base):
+                    if len(kinds) <= least:
+                        return
+                    raw_bytes = data[base[x] : base[x + 1]]
+                    chars = np.concatenate([[0], np.cumsum((raw_bytes & 0xC0) != 0x80)])
+                    edge = np.concatenate([[0], ends])
+                    for no, (most, overlap) in enumerate(limits):
+                        if len(kinds) > most:
+                            for k, (s, e, kd) in enumerate(cuts(kinds, most, overlap)):
+                                rows.append((x, k, chars[edge[s]], chars[edge[e]], s, e, "end" if e == len(kinds) else KINDS[kd], raw_bytes[edge[s] : edge[e]].tobytes(), no))
+
+                for x, o, ends, kinds in boundaries(enc, data, base, least):
                     for y in [y for y in parts if y < x]:
                         close(y)
                     parts.setdefault(x, []).append((ends, o, kinds))
                 for y in list(parts):
                     close(y)
-                one = np.flatnonzero(tok <= most)
                 chars = np.concatenate([[0], np.cumsum((data[base[0] : base[-1]] & 0xC0) != 0x80)])
                 nch = chars[base[1:] - base[0]] - chars[base[:-1] - base[0]]
                 texts = b.column(1).slice(i, j - i)
-                zero = np.zeros(len(one), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [keys.slice(i, j - i).take(pa.array(one)), pa.array(zero.astype(np.int32)), pa.array(zero), pa.array(nch[one]), pa.array(zero), pa.array(tok[one]), pa.array(["end"] * len(one), pa.string()), texts.take(pa.array(one))], names
-                )
+                for no, (most, _) in enumerate(limits):
+                    one = np.flatnonzero(tok <= most)
+                    zero = np.zeros(len(one), np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [keys.slice(i, j - i).take(pa.array(one)), pa.array(zero.astype(np.int32)), pa.array(zero), pa.array(nch[one]), pa.array(zero), pa.array(tok[one]), pa.array(["end"] * len(one), pa.string()), texts.take(pa.array(one)), pa.array(np.full(len(one), no, np.int32))], names
+                    )
                 for r in range(0, len(rows), 4096):
                     c = list(zip(*rows[r : r + 4096]))
                     yield pa.RecordBatch.from_arrays(
-                        [keys.slice(i, j - i).take(pa.array(c[0], pa.int64())), pa.array(c[1], pa.int32()), *[pa.array(np.array(v, np.int64)) for v in c[2:6]], pa.array(c[6], pa.string()), pa.array(c[7], pa.binary()).cast(pa.string())], names
+                        [keys.slice(i, j - i).take(pa.array(c[0], pa.int64())), pa.array(c[1], pa.int32()), *[pa.array(np.array(v, np.int64)) for v in c[2:6]], pa.array(c[6], pa.string()), pa.array(c[7], pa.binary()).cast(pa.string()), pa.array(c[8], pa.int32())], names
                     )
 
     big = F.octet_length("_text") > reach
@@ -345,11 +357,11 @@ def split(df: DataFrame, id_col: str, text_col: str, most: int, overlap: int, to
                 )
 
     tab = materialize(rows.mapInArrow(ranges, cut_schema).repartition(F.col("_row"), F.col("range_no")).mapInArrow(tables, table))
-    spans = T.StructType([*out.fields[:-1], *T.StructType.fromDDL("_row bigint, _hash bigint, range_no int, _from bigint, _len bigint").fields])
+    spans = T.StructType([*out.fields[:-2], out.fields[-1], *T.StructType.fromDDL("_row bigint, _hash bigint, range_no int, _from bigint, _len bigint").fields])
 
     def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, folder)
-        now, rows = None, []
+        now, rows = [], []
 
         def batch(some: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), to_arrow)], names=spans.names)
@@ -357,10 +369,11 @@ def split(df: DataFrame, id_col: str, text_col: str, most: int, overlap: int, to
         to_arrow = list(pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in spans.fields]))
         for b in batches:
             for r in b.to_pylist():
-                if now is None or now.row != r["_row"]:
-                    now = Stitcher(enc, r["_row"], most, overlap)
-                for piece in now.feed(r):
-                    rows.append((r[id_col], *piece[:6], r["_row"], r["_hash"], *piece[6:]))
+                if not now or now[0].row != r["_row"]:
+                    now = [Stitcher(enc, r["_row"], *limit) for limit in limits]
+                for no, one in enumerate(now):
+                    for piece in one.feed(r):
+                        rows.append((r[id_col], *piece[:6], no, r["_row"], r["_hash"], *piece[6:]))
                 if len(rows) >= 4096:
                     yield batch(rows)
                     rows = []
@@ -375,6 +388,6 @@ def split(df: DataFrame, id_col: str, text_col: str, most: int, overlap: int, to
     again = src.filter(big).join(unsure.dropDuplicates(["_id", "_hash"]), same, "left_semi").mapInArrow(whole, out)
     sound = span.join(unsure.select("_row"), "_row", "left_anti").drop("_hash")
     cut = sound.join(tab.select("_row", "range_no", "core"), order).withColumn("_t", F.expr("substring(core, cast(_from as int) + 1, cast(_len as int))"))
-    key = names[:-1]
-    large = cut.groupBy("_row", *key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range_no", "_t"))), lambda x: x["_t"]), "").alias("piece_text")).drop("_row")
+    key = [x for x in names if x != "piece_text"]
+    large = cut.groupBy("_row", *key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range_no", "_t"))), lambda x: x["_t"]), "").alias("piece_text")).select(*names)
     return small.unionByName(again).unionByName(large)
